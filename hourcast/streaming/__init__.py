@@ -1,0 +1 @@
+"""No streaming operators: all work is batch over a date range (see README)."""
