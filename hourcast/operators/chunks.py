@@ -49,6 +49,7 @@ def carry_rows(
     chunk: str,
     parts: dict[str, tuple[Column, Fold]],
     forward: bool = True,
+    spread: bool = False,
 ) -> DataFrame:
     """``df`` plus one row per chunk that holds the folded parts of the chunks before it.
 
@@ -56,6 +57,8 @@ def carry_rows(
     aggregate that folds the summaries.  With ``forward=False`` a chunk receives
     the parts of the chunks after it.  The extra rows have ``_carry`` true and
     sort first in ``chunk_window``.  The summary is combined on the map side.
+    ``spread`` puts the extra rows next to rows that are already partitioned by
+    keys and chunk, so that the rows themselves need not move again.
     """
     summary = df.groupBy(*keys, chunk).agg(*[total.alias(name) for name, (total, _) in parts.items()])
     order = F.col(chunk).asc() if forward else F.col(chunk).desc()
@@ -66,6 +69,8 @@ def carry_rows(
         *[fold(F.col(name)).over(seen).alias(name) for name, (_, fold) in parts.items()],
         F.lit(True).alias(CARRY),
     )
+    if spread:
+        carried = carried.repartition(*keys, chunk)
     return df.withColumn(CARRY, F.lit(False)).unionByName(carried, allowMissingColumns=True)
 
 
@@ -90,9 +95,14 @@ def with_row_index(
     step: str = "hour",
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Zero-based position of each row in its series, ordered by ``ts``."""
-    tagged = df.withColumn(CHUNK, time_chunk(ts, step, chunk_rows)).withColumn(name, F.lit(1).cast("long"))
-    rows = carry_rows(tagged, keys, CHUNK, {name: (F.count(F.lit(1)), F.sum)})
+    """Zero-based position of each row in its series, ordered by ``ts``.
+
+    Rows that still carry their chunk are taken to be partitioned by it.
+    """
+    chunked = CHUNK in df.columns
+    tagged = df if chunked else df.withColumn(CHUNK, time_chunk(ts, step, chunk_rows))
+    tagged = tagged.withColumn(name, F.lit(1).cast("long"))
+    rows = carry_rows(tagged, keys, CHUNK, {name: (F.count(F.lit(1)), F.sum)}, spread=chunked)
     running = chunk_window(keys, CHUNK, [F.col(ts).asc()])
     return drop_carry(rows.withColumn(name, F.sum(name).over(running) - 1), CHUNK)
 
@@ -145,21 +155,34 @@ def own_rows(df: DataFrame, *keep: str) -> DataFrame:
     return df.filter(OWN).drop(*[c for c in (BLOCK, OWN, POSITION) if c not in keep])
 
 
+def _slot(marks: str, value: str, side: int) -> tuple[Column, Column]:
+    """Number of marks below a value, found in two steps through ``side * side - 1`` sorted marks.
+
+    The first column is the step over every ``side``-th mark, to be stored as ``_upper``.
+    """
+    below = lambda index: F.when(F.get(marks, index) < F.col(value), 1).otherwise(0)
+    upper = sum((below(F.lit(side * i - 1)) for i in range(2, side)), below(F.lit(side - 1)))
+    lower = sum((below(F.col("_upper") * side + j) for j in range(1, side - 1)), below(F.col("_upper") * side))
+    return upper, F.col("_upper") * side + lower
+
+
 def cumulative_counts(
     cells: DataFrame,
     by: Sequence[str],
     value: str,
     counts: Sequence[str],
-    slots: int = 64,
+    side: int = 8,
 ) -> DataFrame:
     """Running and total counts over the ordered values of each group.
 
     ``cells`` has one row per group and distinct value with the counts of that
     value.  Adds ``<count>_upto`` (values at or below this one) and
-    ``<count>_total``.  The values of a group are cut into about ``slots`` equal
-    slots, so no task orders more than that share of a group; raise ``slots``
-    with the number of distinct values.
+    ``<count>_total``.  The values of a group are cut into about ``side * side``
+    equal slots, so no task orders more than that share of a group; raise
+    ``side`` with the number of distinct values.  The cuts come from an
+    approximate quantile sketch, but the counts are exact for any cuts.
     """
+    slots = side * side
     probabilities = [i / slots for i in range(1, slots)]
     seen = sum((F.col(c) for c in counts[1:]), F.col(counts[0]))
     # Reading the counts here keeps this aggregate on the same shuffle as the cells.
@@ -168,9 +191,8 @@ def cumulative_counts(
         marked = cells.join(cells.groupBy(*by).agg(marks.alias("_marks")), list(by), "left")
     else:
         marked = cells.withColumn("_marks", cells.agg(marks.alias("_marks")).scalar())
-    slotted = marked.withColumn(
-        CHUNK, F.size(F.filter("_marks", lambda mark: mark < F.col(value))).cast("long")
-    ).drop("_marks")
+    upper, slot = _slot("_marks", value, side)
+    slotted = marked.withColumn("_upper", upper).withColumn(CHUNK, slot).drop("_marks", "_upper")
     summary = slotted.groupBy(*by, CHUNK).agg(*[F.sum(c).alias(c) for c in counts])
     whole = Window.partitionBy(*by)
     before = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)

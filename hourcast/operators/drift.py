@@ -125,13 +125,13 @@ def _ks_tail(distance: Column, n: Column, m: Column, terms: int = 100) -> Column
     return F.when(scale < 0.04, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
-def ecdf_distance(df: DataFrame, features: Sequence[str], group: str, slots: int = 64) -> DataFrame:
+def ecdf_distance(df: DataFrame, features: Sequence[str], group: str, side: int = 8) -> DataFrame:
     """Largest distance between the empirical distributions of the two groups, per feature.
 
     Ordered running counts over distinct values in slots, so no task orders a
     whole feature.
     """
-    ranked = cumulative_counts(_cells(df, features, group, (OLD, NEW)), ["feature"], "value", [OLD, NEW], slots)
+    ranked = cumulative_counts(_cells(df, features, group, (OLD, NEW)), ["feature"], "value", [OLD, NEW], side)
     share = {g: F.try_divide(F.col(f"{g}_upto"), F.col(f"{g}_total")) for g in (OLD, NEW)}
     return ranked.groupBy("feature").agg(
         F.max(F.abs(share[OLD] - share[NEW])).alias("statistic"),
@@ -141,7 +141,7 @@ def ecdf_distance(df: DataFrame, features: Sequence[str], group: str, slots: int
 
 
 def ks_drift(
-    df: DataFrame, features: Sequence[str], group: str, rule: str = "effect", slots: int = 64
+    df: DataFrame, features: Sequence[str], group: str, rule: str = "effect", side: int = 8
 ) -> DataFrame:
     """Two-sample distance, its p-value and effect size per feature.
 
@@ -149,7 +149,7 @@ def ks_drift(
     0.001, a measure that shrinks with the sample.  ``rule='pvalue'``: drift if
     p is below 0.05.  The p-value is the asymptotic one.
     """
-    tested = ecdf_distance(df, features, group, slots).withColumns(
+    tested = ecdf_distance(df, features, group, side).withColumns(
         {
             "p_value": _ks_tail(F.col("statistic"), F.col("n_old"), F.col("n_new")),
             "effect_size": F.try_divide(F.col("statistic"), F.col("n_old")),

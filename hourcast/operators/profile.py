@@ -125,8 +125,8 @@ def value_cells(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ranked(cells: DataFrame, by: Sequence[str], value: str, slots: int) -> DataFrame:
-    return cumulative_counts(cells, by, value, ["n"], slots)
+def _ranked(cells: DataFrame, by: Sequence[str], value: str, side: int) -> DataFrame:
+    return cumulative_counts(cells, by, value, ["n"], side)
 
 
 def _at_rank(value: str, rank: Column) -> Column:
@@ -152,7 +152,7 @@ def quantiles(
     probs: dict[str, float],
     by: Sequence[str] = (),
     interpolate: bool = False,
-    slots: int = 64,
+    side: int = 8,
 ) -> DataFrame:
     """Exact quantiles per group: data points by rank, or linearly interpolated.
 
@@ -160,7 +160,7 @@ def quantiles(
     range is ever sorted or held by one task.
     """
     pick = _cont if interpolate else _disc
-    ranked = _ranked(value_cells(df, value, by), by, value, slots)
+    ranked = _ranked(value_cells(df, value, by), by, value, side)
     return ranked.groupBy(*by).agg(*[pick(value, p).alias(name) for name, p in probs.items()])
 
 
@@ -173,11 +173,11 @@ def _with_group_values(cells: DataFrame, values: DataFrame, by: Sequence[str]) -
 
 
 def iqr_outliers(
-    df: DataFrame, value: str, by: Sequence[str] = (), factor: float = 1.5, slots: int = 64
+    df: DataFrame, value: str, by: Sequence[str] = (), factor: float = 1.5, side: int = 8
 ) -> DataFrame:
     """Rank-based quartiles, fences, and the number of rows strictly outside them."""
     cells = value_cells(df, value, by)
-    quartiles = _ranked(cells, by, value, slots).groupBy(*by).agg(
+    quartiles = _ranked(cells, by, value, side).groupBy(*by).agg(
         _disc(value, 0.25).alias("q1"), _disc(value, 0.75).alias("q3")
     )
     spread = (F.col("q3") - F.col("q1")) * F.lit(factor)
@@ -190,11 +190,11 @@ def iqr_outliers(
 
 
 def box_stats(
-    df: DataFrame, value: str, by: Sequence[str] = (), factor: float = 1.5, slots: int = 64
+    df: DataFrame, value: str, by: Sequence[str] = (), factor: float = 1.5, side: int = 8
 ) -> DataFrame:
     """Minimum, interpolated quartiles, maximum, and whiskers at the outermost points inside the fences."""
     cells = value_cells(df, value, by)
-    five = _ranked(cells, by, value, slots).groupBy(*by).agg(
+    five = _ranked(cells, by, value, side).groupBy(*by).agg(
         F.min(value).alias("low"),
         _cont(value, 0.25).alias("q1"),
         _cont(value, 0.5).alias("median"),

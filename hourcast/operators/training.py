@@ -135,7 +135,7 @@ def tune(
     folds: int = 3,
     seed: int = 42,
     fold_column: str | None = None,
-) -> CrossValidatorModel.__class__ | CrossValidator:
+) -> CrossValidator:
     """Grid search with k folds on RMSE over parameters of the last stage.
 
     Random folds leak along a series; pass a ``fold_column`` of contiguous time

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from hourcast.functions.steps import epoch_seconds, step_seconds
 from hourcast.operators.chunks import (
+    BLOCK,
     CHUNK,
     CHUNK_ROWS,
+    OWN,
     POSITION,
     block_window,
     carry_rows,
@@ -34,6 +36,7 @@ def _fill(
     forward: bool,
     step: str,
     chunk_rows: int,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     nearest = F.max_by if forward else F.min_by
     parts = {
@@ -43,12 +46,18 @@ def _fill(
         df.withColumn(CHUNK, time_chunk(ts, step, chunk_rows)), keys, CHUNK, parts, forward
     )
     running = chunk_window(keys, CHUNK, [F.col(ts).asc() if forward else F.col(ts).desc()])
-    return drop_carry(rows.withColumns({c: last_known(F.col(c)).over(running) for c in columns}), CHUNK)
+    filled = drop_carry(rows.withColumns({c: last_known(F.col(c)).over(running) for c in columns}))
+    return filled if keep_chunk else filled.drop(CHUNK)
 
 
-def ffill(df, keys, ts, columns, step="hour", chunk_rows=CHUNK_ROWS) -> DataFrame:
-    """Replace a NULL by the last value before it in the same series; leading NULLs stay."""
-    return _fill(df, keys, ts, [columns] if isinstance(columns, str) else columns, True, step, chunk_rows)
+def ffill(df, keys, ts, columns, step="hour", chunk_rows=CHUNK_ROWS, keep_chunk=False) -> DataFrame:
+    """Replace a NULL by the last value before it in the same series; leading NULLs stay.
+
+    ``keep_chunk`` leaves the chunk column in place, so that lags or moving
+    statistics that follow work on the same partitioning.
+    """
+    names = [columns] if isinstance(columns, str) else columns
+    return _fill(df, keys, ts, names, True, step, chunk_rows, keep_chunk)
 
 
 def bfill(df, keys, ts, columns, step="hour", chunk_rows=CHUNK_ROWS) -> DataFrame:
@@ -56,6 +65,20 @@ def bfill(df, keys, ts, columns, step="hour", chunk_rows=CHUNK_ROWS) -> DataFram
     return _fill(df, keys, ts, [columns] if isinstance(columns, str) else columns, False, step, chunk_rows)
 
 
+def bfill_blocks(blocks: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str]) -> DataFrame:
+    """Back-fill rows that still carry their block and position, in the partitioning they have.
+
+    Only one summary row per block moves: the first known values of the later blocks.
+    The summary reads the same columns as the rows, so both share one shuffle.
+    """
+    first = {
+        c: (F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts))), last_known) for c in columns
+    }
+    rows = carry_rows(blocks, keys, BLOCK, first, forward=False, spread=True)
+    running = chunk_window(keys, BLOCK, [F.col(POSITION).desc()])
+    return drop_carry(rows.withColumns({c: last_known(F.col(c)).over(running) for c in columns}))
+
+
 def lag_value(value: str, n: int, window: WindowSpec, mode: str = "rows", step: str = "hour") -> Column:
     """The value ``n`` rows before, or exactly ``n`` steps of time before."""
     if mode == "rows":
@@ -83,17 +106,21 @@ def windowed(
     exclude_current: bool = False,
     step: str = "hour",
     chunk_rows: int = CHUNK_ROWS,
+    back_fill: Sequence[str] = (),
 ) -> DataFrame:
     """Add lags (name to periods) and moving statistics (name to width, function, min_periods).
 
     Counted in rows, all of them share one set of blocks and one sort.  With
     ``mode='time'`` the lags are exact in time, on blocks of time, and moving
-    statistics, which always count rows, follow on blocks of rows.
+    statistics, which always count rows, follow on blocks of rows.  The columns
+    named in ``back_fill`` are back-filled within the same blocks.
     """
     periods, moving = periods or {}, moving or {}
     if mode == "time" and periods and moving:
         df = windowed(df, keys, ts, value, periods, None, mode, False, step, chunk_rows)
-        return windowed(df, keys, ts, value, None, moving, "rows", exclude_current, step, chunk_rows)
+        return windowed(
+            df, keys, ts, value, None, moving, "rows", exclude_current, step, chunk_rows, back_fill
+        )
     reach = max([*periods.values(), *[width for width, _, _ in moving.values()]])
     overlap = overlap_by_time if mode == "time" else overlap_by_rows
     blocks = overlap(df, keys, ts, reach, step=step, chunk_rows=chunk_rows)
@@ -103,7 +130,10 @@ def windowed(
         n: moving_value(value, width, fn, least, window, exclude_current)
         for n, (width, fn, least) in moving.items()
     }
-    return own_rows(blocks.withColumns(lagged | stats))
+    rows = blocks.withColumns(lagged | stats)
+    if back_fill:
+        rows = bfill_blocks(rows.filter(OWN), keys, ts, back_fill)
+    return own_rows(rows)
 
 
 def lags(df, keys, ts, value, periods, mode="rows", step="hour", chunk_rows=CHUNK_ROWS) -> DataFrame:

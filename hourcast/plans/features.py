@@ -12,7 +12,7 @@ from hourcast.functions.keys import one_hot, row_id
 from hourcast.functions.steps import step_interval
 from hourcast.operators.chunks import last_known
 from hourcast.operators.resample import day_spine
-from hourcast.operators.windows import bfill, lag_value, moving_value, windowed
+from hourcast.operators.windows import lag_value, moving_value, windowed
 
 # Names, widths and lags of the hourly feature set.
 HOURLY_LAGS = {
@@ -79,9 +79,8 @@ def build_features(
     built = windowed(
         df.select(key, ts, value), [key], ts, value, cfg.lags, cfg.moving,
         cfg.mode, cfg.exclude_current, cfg.step, cfg.chunk_rows,
+        cfg.filled if cfg.back_fill else (),
     )
-    if cfg.back_fill:
-        built = bfill(built, [key], ts, cfg.filled, cfg.step, cfg.chunk_rows)
     return _finish(built, key, ts, value, cfg)
 
 

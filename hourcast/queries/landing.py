@@ -38,7 +38,8 @@ def hourly_sum(spark, sf_dir):
       m AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""",
 )
 def hourly_clean(spark, sf_dir):
-    clean = ffill(nullify_invalid(hourly(spark, sf_dir), "v", 5000), KEYS, "ts", "v", chunk_rows=CHUNK)
+    valid = nullify_invalid(hourly(spark, sf_dir), "v", 5000)
+    clean = ffill(valid, KEYS, "ts", "v", chunk_rows=CHUNK, keep_chunk=True)
     return windowed(
         clean, KEYS, "ts", "v", {"lag_24": 24}, {"mean_24": (24, "avg", 24)}, chunk_rows=CHUNK
     )
@@ -114,5 +115,5 @@ def invalid(spark, sf_dir):
     WINDOW w AS (PARTITION BY series ORDER BY ts)""",
 )
 def lags_after_fill(spark, sf_dir):
-    filled = ffill(holed(spark, sf_dir), KEYS, "ts", "v", chunk_rows=CHUNK)
+    filled = ffill(holed(spark, sf_dir), KEYS, "ts", "v", chunk_rows=CHUNK, keep_chunk=True)
     return lags(filled, KEYS, "ts", "v", {"lag_1": 1, "lag_24": 24}, chunk_rows=CHUNK)

@@ -6,13 +6,18 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# AQE picks join strategies from measured sizes and splits skewed join
-# partitions; timestamps are wall-clock values, so the zone is fixed.
+# Timestamps are wall-clock values, so the zone is fixed.  AQE picks join
+# strategies from measured sizes and splits skewed join partitions, also where
+# that costs an extra shuffle.  Work per (series, chunk) must really be spread by
+# both columns: without the last setting Spark would reuse a partitioning by
+# series alone and put a long series back into one task.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
 }
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from hourcast.operators.upsert import assert_unique, insert_if_absent, upsert
+from hourcast.operators.upsert import assert_unique, upsert
 from hourcast.session import ensure_checkpoint_dir
 
 
@@ -24,9 +25,13 @@ def load(spark: SparkSession, name: str) -> DataFrame:
 def exists(spark: SparkSession, name: str) -> bool:
     if not is_path(name):
         return spark.catalog.tableExists(name)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(name)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    try:
+        load(spark, name)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
 
 
 def save(
@@ -103,6 +108,12 @@ def write_back(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     )
 
 
+def replace_table(df: DataFrame, name: str) -> None:
+    """Replace a small table by a frame that may itself read it, such as the version table."""
+    ensure_checkpoint_dir(df.sparkSession)
+    save(df.checkpoint(), name)
+
+
 def with_month(df: DataFrame, ts: str, name: str = "month_key") -> DataFrame:
     """Partition column for tables that are updated by day: the month as text."""
     return df.withColumn(name, F.date_format(ts, "yyyy-MM"))
@@ -132,8 +143,3 @@ def merge_into(
     target = load(spark, path).withColumn(month, F.col(month).cast("string"))
     touched = target.filter(F.col(month).isin(months))
     write_back(upsert(touched, batch, keys, update, insert), path, [month])
-
-
-def log_once(rows: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The run log after adding rows that are not in it yet."""
-    return insert_if_absent(target, rows, keys)
