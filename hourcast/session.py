@@ -28,7 +28,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cpus: int | str = "*",
+    shuffle_partitions: int = 8,
+    memory: str = "8g",
+    settings: dict[str, str] | None = None,
+) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -37,7 +42,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for name, value in SETTINGS.items():
+    for name, value in (SETTINGS | (settings or {})).items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
