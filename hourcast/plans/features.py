@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hourcast.functions.calendar import calendar_parts
+from hourcast.functions.calendar import CALENDAR, calendar_parts
 from hourcast.functions.keys import one_hot, row_id
 from hourcast.functions.steps import step_interval
 from hourcast.operators.chunks import last_known
@@ -51,6 +51,11 @@ class FeatureConfig:
     id_column: str = "CONSUMPTION_ID"
     chunk_rows: int = 1024
 
+    def __post_init__(self) -> None:
+        names = [*self.lags, *self.moving, *CALENDAR, self.id_column, *(self.values or ())]
+        if len({n.lower() for n in names}) < len(names):
+            raise ValueError(f"feature names are not distinct: {names}")
+
     @property
     def reach(self) -> int:
         return max([0, *self.lags.values(), *[width for width, _, _ in self.moving.values()]])

@@ -6,7 +6,7 @@ any engine.  ``hourly`` and ``daily`` have at most one row per series and step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hourcast.operators.resample import resample
 from hourcast.operators.windows import lags
@@ -46,8 +46,17 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean day per priority and month."""
-    return resample(daily(spark, sf_dir), KEYS, "ts", "v", "month", "avg")
+    """Orders per priority and month."""
+    return resample(daily(spark, sf_dir), KEYS, "ts", "v", "month", "sum")
+
+
+def steady(column: str) -> Column:
+    """Two decimals, cut at an odd place.
+
+    Means of whole cents often lie exactly on half a digit, where plain rounding
+    would let the last bit of a sum decide.
+    """
+    return (F.floor(F.col(column) * 100 + F.lit(0.3183)) / 100).alias(column)
 
 
 def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +102,7 @@ H = """h AS (SELECT event_type AS series, CAST(date_trunc('hour', ts) AS TIMESTA
 N = H + """, n AS (SELECT series, ts, CASE WHEN v > 5000 THEN v END AS v FROM h)"""
 D = """d AS (SELECT o_orderpriority AS series, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts,
   CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS v FROM orders GROUP BY 1, 2)"""
-MO = D + """, mo AS (SELECT series, CAST(date_trunc('month', ts) AS TIMESTAMP) AS ts, avg(v) AS v
+MO = D + """, mo AS (SELECT series, CAST(date_trunc('month', ts) AS TIMESTAMP) AS ts, sum(v) AS v
   FROM d GROUP BY 1, 2)"""
 P = D + """, p AS (SELECT series, ts, v / 100000 AS v, a / 100000 AS a, b / 100000 AS b FROM (
   SELECT *, lag(v, 1) OVER w AS a, lag(v, 7) OVER w AS b FROM d
@@ -102,4 +111,5 @@ V = """ver AS (SELECT o_orderpriority AS name, o_orderkey AS version,
   CASE o_orderstatus WHEN 'O' THEN 'Production' WHEN 'P' THEN 'Staging' ELSE 'None' END AS current_stage,
   o_orderdate AS creation_timestamp FROM orders)"""
 R = """r AS (SELECT event_id AS run_id, ts AS start_time, event_type AS experiment, value AS mae FROM events)"""
+STEADY = "floor(({0}) * 100 + 0.3183::DOUBLE) / 100"
 W = "WINDOW w AS (PARTITION BY series ORDER BY ts)"

@@ -13,7 +13,7 @@ from hourcast.operators.windows import (
     rolling_daily,
     time_step,
 )
-from hourcast.queries.frames import CHUNK, D, H, KEYS, MO, W, daily, hourly, monthly
+from hourcast.queries.frames import CHUNK, D, H, KEYS, MO, STEADY, W, daily, hourly, monthly, steady
 from hourcast.queries.registry import query
 
 
@@ -138,13 +138,13 @@ def rolling_7d(spark, sf_dir):
           f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
       q AS (SELECT series, i % 12 AS ph, avg(v - trend) AS raw FROM t GROUP BY 1, 2),
       s AS (SELECT series, ph, raw - avg(raw) OVER (PARTITION BY series) AS seasonal FROM q)
-    SELECT t.series, t.ts, round(v, 2) AS v, round(trend, 2) AS trend, round(seasonal, 2) AS seasonal,
-      round(v - trend - seasonal, 2) AS residual
+    SELECT t.series, t.ts, v, trend, {STEADY.format("seasonal")} AS seasonal,
+      {STEADY.format("v - trend - seasonal")} AS residual
     FROM t JOIN s ON s.series = t.series AND s.ph = t.i % 12""",
 )
 def decomposed(spark, sf_dir):
     out = decompose(monthly(spark, sf_dir), KEYS, "ts", "v", 12, chunk_rows=16)
-    return out.withColumns({c: F.round(c, 2) for c in ("v", "trend", "seasonal", "residual")})
+    return out.withColumns({c: steady(c) for c in ("seasonal", "residual")})
 
 
 @query(

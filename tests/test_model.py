@@ -83,12 +83,17 @@ def test_future_features_equal_training_features(spark, mode):
 
 @pytest.mark.parametrize("days", [28, 29, 30, 31])
 def test_month_lag_is_found_whatever_the_month(spark, days):
-    cfg = FeatureConfig(lags={"month": 720}, moving={}, values=["a"])
+    cfg = FeatureConfig(lags={"l720": 720}, moving={}, values=["a"])
     rows = [("a", hour(i), float(i)) for i in range(24 * 40)]
     day = F.lit(hour(24 * (days + 2))).cast("timestamp_ntz")
     out = build_future_features(frame(spark, rows), spark.createDataFrame([("a",)], "series string"), "series", "ts", "v", day, cfg)
-    assert out.filter("month is null").count() == 0
-    assert out.agg(F.min("month")).first()[0] == 24 * (days + 2) - 720
+    assert out.filter("l720 is null").count() == 0
+    assert out.agg(F.min("l720")).first()[0] == 24 * (days + 2) - 720
+
+
+def test_feature_names_must_differ():
+    with pytest.raises(ValueError):
+        FeatureConfig(lags={"month": 720})
 
 
 def errors(spark):
