@@ -155,6 +155,20 @@ def own_rows(df: DataFrame, *keep: str) -> DataFrame:
     return df.filter(OWN).drop(*[c for c in (BLOCK, OWN, POSITION) if c not in keep])
 
 
+def attach(rows: DataFrame, values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add the columns of ``values``, one row per group, to all rows of the group.
+
+    Groups are matched NULL-safely.  That keeps the NULL group, and Spark then
+    adds no NOT NULL filter to one side, so both can read the same shuffle.
+    """
+    if not by:
+        one = values.select(F.struct("*").alias("_one")).scalar()
+        return rows.withColumn("_one", one).select("*", "_one.*").drop("_one")
+    renamed = values.withColumnsRenamed({b: f"_of_{b}" for b in by})
+    match = [F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by]
+    return rows.join(renamed, match, "left").drop(*[f"_of_{b}" for b in by])
+
+
 def _slot(marks: str, value: str, side: int) -> tuple[Column, Column]:
     """Number of marks below a value, found in two steps through ``side * side - 1`` sorted marks.
 
@@ -187,10 +201,7 @@ def cumulative_counts(
     seen = sum((F.col(c) for c in counts[1:]), F.col(counts[0]))
     # Reading the counts here keeps this aggregate on the same shuffle as the cells.
     marks = F.percentile_approx(F.when(seen > 0, F.col(value)), probabilities, 20 * slots)
-    if by:
-        marked = cells.join(cells.groupBy(*by).agg(marks.alias("_marks")), list(by), "left")
-    else:
-        marked = cells.withColumn("_marks", cells.agg(marks.alias("_marks")).scalar())
+    marked = attach(cells, cells.groupBy(*by).agg(marks.alias("_marks")), by)
     upper, slot = _slot("_marks", value, side)
     slotted = marked.withColumn("_upper", upper).withColumn(CHUNK, slot).drop("_marks", "_upper")
     summary = slotted.groupBy(*by, CHUNK).agg(*[F.sum(c).alias(c) for c in counts])

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hourcast.operators.chunks import cumulative_counts
+from hourcast.operators.chunks import attach, cumulative_counts
 
 PARTS = {
     "year": F.year,
@@ -164,14 +164,6 @@ def quantiles(
     return ranked.groupBy(*by).agg(*[pick(value, p).alias(name) for name, p in probs.items()])
 
 
-def _with_group_values(cells: DataFrame, values: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach one row of per-group values to the cells of the group."""
-    if by:
-        return cells.join(values, list(by), "left")
-    one = values.select(F.struct("*").alias("_one")).scalar()
-    return cells.withColumn("_one", one).select("*", "_one.*").drop("_one")
-
-
 def iqr_outliers(
     df: DataFrame, value: str, by: Sequence[str] = (), factor: float = 1.5, side: int = 8
 ) -> DataFrame:
@@ -183,7 +175,7 @@ def iqr_outliers(
     spread = (F.col("q3") - F.col("q1")) * F.lit(factor)
     fences = quartiles.withColumns({"lower": F.col("q1") - spread, "upper": F.col("q3") + spread})
     outside = (F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper"))
-    return _with_group_values(cells, fences, by).groupBy(*by).agg(
+    return attach(cells, fences, by).groupBy(*by).agg(
         *[F.first(c).alias(c) for c in ("q1", "q3", "lower", "upper")],
         F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outliers"),
     )
@@ -204,7 +196,7 @@ def box_stats(
     names = ("low", "q1", "median", "q3", "high")
     spread = (F.col("q3") - F.col("q1")) * F.lit(factor)
     inside = F.col(value).between(F.col("q1") - spread, F.col("q3") + spread)
-    return _with_group_values(cells, five, by).groupBy(*by).agg(
+    return attach(cells, five, by).groupBy(*by).agg(
         *[F.first(c).alias(c) for c in names],
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),

@@ -119,6 +119,18 @@ def test_moving_without_current_row(spark):
     assert same(sorted_pandas(out)["m"], expected)
 
 
+@pytest.mark.parametrize("exclude", [False, True])
+@pytest.mark.parametrize("width,chunk", [(48, 10), (60, 1000), (53, 7)])
+def test_long_moving_sums(spark, width, chunk, exclude):
+    rows = random_series(9, {"a": 200, "b": 20}, gap=0.2, unknown=0.4)
+    specs = {"s": (width, "sum", 5), "m": (width, "avg", 20)}
+    out = sorted_pandas(rolling(frame(spark, rows), KEYS, "ts", "v", specs, exclude, chunk_rows=chunk))
+    grouped = pandas_of(rows).groupby("series")["v"]
+    moved = grouped.shift(1).groupby(pandas_of(rows)["series"]) if exclude else grouped
+    assert same(out["s"], moved.rolling(width, min_periods=5).sum())
+    assert same(out["m"], moved.rolling(width, min_periods=20).mean())
+
+
 def test_moving_of_one_row(spark):
     out = rolling(frame(spark, [("a", hour(0), 3.0)]), KEYS, "ts", "v", {"s": (24, "std", 1), "t": (24, "sum", 1)})
     assert rows_of(out, "s", "t") == [(None, 3.0)]
