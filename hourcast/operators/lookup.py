@@ -31,8 +31,8 @@ def lookup_asof(
     ``features`` has at most one row per key and time.  Its rows are packed per
     key and time bucket (bounded by the bucket length), each bucket also gets
     the latest row before it, and the labels meet their bucket in one equi-join.
-    Labels are never sorted or grouped by key: repeated ones only enter a
-    distinct list of buckets, and a hot key is a skewed join that Spark splits.
+    Labels are never sorted or grouped by key: they only give a distinct list of
+    buckets, and a hot key or bucket is a skewed join that Spark splits.
     """
     payload = [c for c in features.columns if c not in (*keys, ts) and c not in labels.columns]
     place = F.floor(epoch_seconds(ts) / F.lit(step_seconds(bucket)))
@@ -41,17 +41,25 @@ def lookup_asof(
         features.withColumn(BUCKET, place)
         .groupBy(*keys, BUCKET)
         .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-        .withColumn("_wanted", F.lit(False))
     )
     wanted = labels.select(*keys, place.alias(BUCKET)).distinct().withColumn("_wanted", F.lit(True))
-    buckets = (
-        packed.unionByName(wanted, allowMissingColumns=True)
-        .groupBy(*keys, BUCKET)
-        .agg(F.first("_rows", ignorenulls=True).alias("_rows"), F.bool_or("_wanted").alias("_wanted"))
+    # One row per bucket: its newest feature row.  As many as the time span has buckets.
+    newest = packed.select(*keys, BUCKET, F.get("_rows", F.size("_rows") - 1).alias("_newest"))
+    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rangeBetween(Window.unboundedPreceding, -1)
+    prior = (
+        newest.unionByName(wanted, allowMissingColumns=True)
+        .withColumn("_prior", last_known(F.col("_newest")).over(earlier))
+        .filter("_wanted")
+        .drop("_newest")
     )
-    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
-        buckets.withColumn("_prior", last_known(F.get("_rows", F.size("_rows") - 1)).over(earlier))
+        packed.unionByName(prior, allowMissingColumns=True)
+        .groupBy(*keys, BUCKET)
+        .agg(
+            F.first("_rows", ignorenulls=True).alias("_rows"),
+            F.first("_prior", ignorenulls=True).alias("_prior"),
+            F.bool_or("_wanted").alias("_wanted"),
+        )
         .filter("_wanted")
         .drop("_wanted")
     )

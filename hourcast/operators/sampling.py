@@ -20,6 +20,7 @@ def sample_n(df: DataFrame, n: int | Column, seed: int, ids: Sequence[str]) -> D
     hashed = df.withColumn("_hash", F.xxhash64(*ids, F.lit(seed))).withColumn(
         "_cell", F.pmod("_hash", F.lit(CELLS))
     )
+    # At most CELLS rows, so this table may be ordered in one task and broadcast.
     sizes = hashed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     room = sizes.withColumn("_upto", F.sum("_n").over(running)).select(

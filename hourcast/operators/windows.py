@@ -16,6 +16,7 @@ from hourcast.operators.chunks import (
     CHUNK_ROWS,
     OWN,
     POSITION,
+    attach,
     block_window,
     carry_rows,
     chunk_window,
@@ -263,14 +264,16 @@ def decompose(
     trend = F.when(F.count(value).over(frame) == 2 * half + 1, total / period)
     rows = own_rows(blocks.withColumn("trend", trend), POSITION).withColumnRenamed(POSITION, index)
     rows = rows.withColumn("_phase", F.col(index) % period)
+    # Reading the time here keeps this aggregate on the same shuffle as the rows.
+    detrended = F.when(F.col(ts).isNotNull(), F.col(value) - F.col("trend"))
     phases = (
         rows.groupBy(*keys, "_phase")
-        .agg(F.avg(F.col(value) - F.col("trend")).alias("_raw"))
+        .agg(F.avg(detrended).alias("_raw"))
         .withColumn("seasonal", F.col("_raw") - F.avg("_raw").over(Window.partitionBy(*keys)))
         .drop("_raw")
     )
     return (
-        rows.join(phases, [*keys, "_phase"], "left")
+        attach(rows, phases, [*keys, "_phase"])
         .withColumn("residual", F.col(value) - F.col("trend") - F.col("seasonal"))
         .drop("_phase", index)
     )
