@@ -50,12 +50,12 @@ def crosstab(df: DataFrame, feature: str, group: str, values: Sequence[str] = (N
 
 def _cells(df: DataFrame, features: Sequence[str], group: str, values: Sequence[str]) -> DataFrame:
     """Rows of each group per feature and distinct value, in one shuffle for all features."""
-    flags = [F.col(f).cast("double").alias(f) for f in features]
-    long = df.select(group, *flags).unpivot([group], list(features), "feature", "value")
+    pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]
+    long = df.select(group, F.inline(F.array(*pairs)))
     return (
         long.filter(F.col("value").isNotNull())
         .groupBy("feature", "value")
-        .agg(*[F.count_if(F.col(group) == v).alias(v) for v in values])
+        .agg(*[F.count(F.when(F.col(group) == v, 1)).alias(v) for v in values])
     )
 
 
