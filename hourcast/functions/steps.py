@@ -43,7 +43,13 @@ def epoch_seconds(ts: str | Column) -> Column:
     return column.cast("timestamp").cast("long")
 
 
-def truncate(ts: str | Column, unit: str, dtype: str = "timestamp_ntz") -> Column:
-    """Start of the hour, day, month, ... that holds ``ts``."""
+def truncate(ts: str | Column, step: str, dtype: str = "timestamp_ntz") -> Column:
+    """Start of the step (hour, day, 15 minutes, ...) that holds ``ts``; the week starts on Monday."""
     column = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_trunc(unit, column).cast(dtype)
+    count, unit = split_step(step)
+    if count == 1:
+        return F.date_trunc(unit, column).cast(dtype)
+    if is_calendar(step):
+        raise ValueError(f"cannot truncate to {step!r}")
+    seconds = step_seconds(step)
+    return F.timestamp_seconds(F.floor(epoch_seconds(column) / seconds) * seconds).cast(dtype)

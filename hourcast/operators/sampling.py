@@ -12,7 +12,7 @@ CELLS = 65_536
 def sample_n(df: DataFrame, n: int | Column, seed: int, ids: Sequence[str]) -> DataFrame:
     """``n`` rows chosen by a seeded hash of their id: the same rows on every run.
 
-    ``n`` may be a scalar subquery such as the row count of another table.  The
+    ``ids`` must identify a row.  ``n`` may be a scalar subquery such as the row count of another table.  The
     hash spreads the rows evenly over cells; whole cells are taken up to the one
     where the sample fills up, and only that cell is ordered.
     """

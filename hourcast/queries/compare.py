@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from hourcast.functions.keys import with_row_id
 from hourcast.operators import monitor, runs as run_tables
 from hourcast.operators.profile import count_by_series
 from hourcast.operators.sampling import latest
+from hourcast.operators.training import score_to_predictions
 from hourcast.queries.frames import (
     D,
+    H,
     KEYS,
     P,
     R,
     SPLIT_DATE,
     V,
     daily,
+    hourly,
     predictions,
     runs,
     versions,
@@ -206,6 +212,31 @@ def champion(spark, sf_dir):
     return rounded(run_tables.choose_champion(both, "v", "b", "a", KEYS))
 
 
+@query(
+    "next_version",
+    f"""WITH {V} SELECT '1-URGENT' AS name, CAST(coalesce(max(version), 0) + 1 AS INTEGER) AS version, 'None' AS current_stage,
+      TIMESTAMP '2024-01-01' AS creation_timestamp, '/models/next' AS path FROM ver WHERE name = '1-URGENT'""",
+)
+def next_version(spark, sf_dir):
+    return run_tables.next_version(versions(spark, sf_dir), "1-URGENT", "/models/next", datetime(2024, 1, 1))
+
+
+@query(
+    "prediction_rows",
+    f"""WITH {P} SELECT ts, series, a AS predicted_consumption, NULL::DOUBLE AS actual_consumption,
+      NULL::DOUBLE AS residual, 'models:/previous_row/1' AS model_used FROM p""",
+)
+def prediction_rows(spark, sf_dir):
+    scored = with_row_id(predictions(spark, sf_dir), "series", "ts", "id").withColumnRenamed("a", "prediction")
+    out = score_to_predictions(scored, "ts", "models:/previous_row/1", "id", "series")
+    return out.toDF(*[c.lower() for c in out.columns])
+
+
+@query("one_day", f"WITH {H} SELECT series, ts, v FROM h WHERE CAST(ts AS DATE) = DATE '2024-01-15'")
+def one_day(spark, sf_dir):
+    return monitor.one_day(hourly(spark, sf_dir), "ts", "2024-01-15")
+
+
 @query("runs_by_experiment", f"WITH {R} SELECT experiment, count(*) AS n FROM r GROUP BY 1")
 def runs_by_experiment(spark, sf_dir):
     return count_by_series(runs(spark, sf_dir), ["experiment"])

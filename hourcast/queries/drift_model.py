@@ -11,6 +11,7 @@ from hourcast.operators.training import (
     RegressorConfig,
     make_pipeline,
     score_to_predictions,
+    time_folds,
     time_split,
     timed_fit,
 )
@@ -67,34 +68,103 @@ def chi2(spark, sf_dir):
 KS_FEATURES = ["v", "lag_1", "lag_7"]
 
 
-@query(
-    "ks_drift",
-    f"""WITH {G}, a AS (SELECT data_group, v, lag(v, 1) OVER w AS lag_1, lag(v, 7) OVER w AS lag_7 FROM g
-        WINDOW w AS (PARTITION BY series ORDER BY ts)),
-      l AS (SELECT 'v' AS feature, v AS value, data_group FROM a UNION ALL SELECT 'lag_1', lag_1, data_group FROM a
-        UNION ALL SELECT 'lag_7', lag_7, data_group FROM a),
+def _ks_sql(rows: str, drifted: str) -> str:
+    """The distance test over rows (feature, value, data_group)."""
+    return f"""l AS ({rows}),
       c AS (SELECT feature, value, count(*) FILTER (data_group = 'old') AS o, count(*) FILTER (data_group = 'new') AS n
         FROM l WHERE value IS NOT NULL GROUP BY 1, 2),
       r AS (SELECT feature, sum(o) OVER w AS co, sum(n) OVER w AS cn, sum(o) OVER f AS no, sum(n) OVER f AS nn FROM c
         WINDOW w AS (PARTITION BY feature ORDER BY value), f AS (PARTITION BY feature)),
       k AS (SELECT feature, max(abs(co::DOUBLE / no - cn::DOUBLE / nn)) AS d, CAST(max(no) AS BIGINT) AS no,
-        CAST(max(nn) AS BIGINT) AS nn FROM r GROUP BY 1)
+        CAST(max(nn) AS BIGINT) AS nn FROM r GROUP BY 1),
+      z AS (SELECT *, d * d * no * nn / (no + nn) AS scale FROM k),
+      p AS (SELECT *, CASE WHEN scale < 0.04 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE,
+        2 * list_sum(list_transform(generate_series(1, 100),
+          lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * j * j * scale))))) END AS q FROM z)
     SELECT feature, round(d, 9) AS statistic, no AS n_old, nn AS n_new, round(d / no, 9) AS effect_size,
-      d / no > 0.001 AS drifted,
-      round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 2 * list_sum(list_transform(generate_series(1, 100),
-        lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * j * j * d * d * no * nn / (no + nn)))))), 9) AS p_value
-    FROM k""",
+      round(q, 9) AS p_value, {drifted} AS drifted FROM p"""
+
+
+def _long_sql(frame: str, features: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, data_group FROM {frame}" for f in features
+    )
+
+
+@query(
+    "ks_drift",
+    f"""WITH {G}, a AS (SELECT data_group, v, lag(v, 1) OVER w AS lag_1, lag(v, 7) OVER w AS lag_7 FROM g
+        WINDOW w AS (PARTITION BY series ORDER BY ts)), {_ks_sql(_long_sql("a", KS_FEATURES), "d / no > 0.001")}""",
 )
 def ks(spark, sf_dir):
     days = lags(daily(spark, sf_dir), KEYS, "ts", "v", {"lag_1": 1, "lag_7": 7}, step="day", chunk_rows=CHUNK)
     return rounded(drift.ks_drift(grouped(days), KS_FEATURES, GROUP), 9)
 
 
+@query(
+    "ks_flags",
+    f"""WITH {G}, a AS (SELECT data_group, {FLAG_SQL} FROM g),
+      {_ks_sql(_long_sql("a", list(FLAGS.values())), "q < 0.05")}""",
+)
+def ks_on_flags(spark, sf_dir):
+    days = grouped(flagged(spark, sf_dir))
+    return rounded(drift.ks_drift(days, list(FLAGS.values()), GROUP, rule="pvalue"), 9)
+
+
 @query("drift_groups")
 def groups(spark, sf_dir):
     return drift.drift_groups(daily(spark, sf_dir), "ts", SPLIT_DATE, "2000-04-01", 123, [*KEYS, "ts"])
 
 
+def _sizes(df):
+    """Rows and distinct rows per group, and the time range of the group that is not sampled."""
+    new = F.when(F.col(GROUP) == drift.NEW, F.col("ts"))
+    return df.groupBy(GROUP).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("series", "ts").alias("n_distinct"),
+        F.min(new).alias("first"),
+        F.max(new).alias("last"),
+    )
+
+
+@query(
+    "drift_group_sizes",
+    f"""WITH {D}, n AS (SELECT count(*) AS n, min(ts) AS "first", max(ts) AS "last" FROM d
+        WHERE ts > TIMESTAMP '2000-01-01' AND ts <= TIMESTAMP '2000-04-01'),
+      o AS (SELECT count(*) AS all_old FROM d WHERE ts <= TIMESTAMP '2000-01-01')
+    SELECT 'new' AS data_group, n, n AS n_distinct, "first", "last" FROM n
+    UNION ALL SELECT 'old', least(n, all_old), least(n, all_old), NULL, NULL FROM n, o""",
+)
+def drift_group_sizes(spark, sf_dir):
+    return _sizes(groups(spark, sf_dir))
+
+
+@query(
+    "recent_group_sizes",
+    f"""WITH {D}, m AS (SELECT max(ts) - INTERVAL 90 DAY AS start FROM d)
+    SELECT 'new' AS data_group, count(*) AS n, count(*) AS n_distinct, min(ts) AS "first", max(ts) AS "last"
+      FROM d, m WHERE ts >= start
+    UNION ALL SELECT 'old', least(count(*), 990), least(count(*), 990), NULL, NULL FROM d, m WHERE ts < start""",
+)
+def recent_group_sizes(spark, sf_dir):
+    return _sizes(drift.recent_groups(daily(spark, sf_dir), "ts", 90, 90 * 11, 123, [*KEYS, "ts"]))
+
+
+@query("sample_size", f"WITH {D} SELECT least(count(*), 500) AS n, least(count(*), 500) AS n_distinct FROM d")
+def sample_size(spark, sf_dir):
+    chosen = sample(spark, sf_dir)
+    return chosen.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("series", "ts").alias("n_distinct"))
+
+
+@query(
+    "time_folds",
+    f"""WITH {D} SELECT series, ts, CAST(greatest(0, least(2, floor((epoch(ts) - epoch(TIMESTAMP '1995-01-01')) * 3
+      / (epoch(TIMESTAMP '2001-08-02') - epoch(TIMESTAMP '1995-01-01'))))) AS INTEGER) AS fold FROM d""",
+)
+def folds(spark, sf_dir):
+    return time_folds(daily(spark, sf_dir).drop("v"), "ts", "1995-01-01", "2001-08-02", 3)
+
+
 @query("sample_n")
 def sample(spark, sf_dir):
     return sample_n(daily(spark, sf_dir), 500, 123, [*KEYS, "ts"])

@@ -43,6 +43,14 @@ def test_resample_sum_and_mean(spark):
     assert rows_of(resample(df, KEYS, "ts", "v", "hour", "avg")) == [("a", hour(0), 22.5)]
 
 
+def test_resample_to_quarter_hours(spark):
+    rows = [("a", datetime(1969, 12, 31, 23, 50), 1.0), ("a", datetime(2024, 1, 1, 0, 29, 59), 2.0), ("a", datetime(2024, 1, 1, 0, 15), 3.0)]
+    out = resample(frame(spark, rows), KEYS, "ts", "v", "15 minutes", "max")
+    assert rows_of(out) == [("a", datetime(1969, 12, 31, 23, 45), 1.0), ("a", datetime(2024, 1, 1, 0, 15), 3.0)]
+    with pytest.raises(ValueError):
+        resample(frame(spark, rows), KEYS, "ts", "v", "2 months", "sum")
+
+
 def test_resample_fills_gaps_on_request(spark):
     df = frame(spark, [("a", hour(0), 1.0), ("a", hour(48), 2.0)])
     assert resample(df, KEYS, "ts", "v", "day", "avg").count() == 2
