@@ -169,15 +169,24 @@ def attach(rows: DataFrame, values: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.join(renamed, match, "left").drop(*[f"_of_{b}" for b in by])
 
 
-def _slot(marks: str, value: str, side: int) -> tuple[Column, Column]:
-    """Number of marks below a value, found in two steps through ``side * side - 1`` sorted marks.
+def _count_below(value: str, places: Sequence[str]) -> str:
+    """SQL for how many of the marks at these places lie below the value."""
+    return " + ".join(f"if(get(_marks, {place}) < `{value}`, 1, 0)" for place in places)
 
-    The first column is the step over every ``side``-th mark, to be stored as ``_upper``.
+
+def _with_slot(rows: DataFrame, value: str, side: int) -> DataFrame:
+    """Number of marks below the value, among ``side * side - 1`` sorted marks.
+
+    Every ``side``-th mark first, then the marks in between: two short sums of
+    comparisons that compile to plain code.
     """
-    below = lambda index: F.when(F.get(marks, index) < F.col(value), 1).otherwise(0)
-    upper = sum((below(F.lit(side * i - 1)) for i in range(2, side)), below(F.lit(side - 1)))
-    lower = sum((below(F.col("_upper") * side + j) for j in range(1, side - 1)), below(F.col("_upper") * side))
-    return upper, F.col("_upper") * side + lower
+    upper = _count_below(value, [str(side * i - 1) for i in range(1, side)])
+    lower = _count_below(value, [f"_upper * {side} + {j}" for j in range(side - 1)])
+    return (
+        rows.withColumn("_upper", F.expr(upper))
+        .withColumn(CHUNK, F.expr(f"_upper * {side} + {lower}"))
+        .drop("_marks", "_upper")
+    )
 
 
 def cumulative_counts(
@@ -197,13 +206,12 @@ def cumulative_counts(
     approximate quantile sketch, but the counts are exact for any cuts.
     """
     slots = side * side
-    probabilities = [i / slots for i in range(1, slots)]
-    seen = sum((F.col(c) for c in counts[1:]), F.col(counts[0]))
+    cuts = ", ".join(str(i / slots) for i in range(1, slots))
     # Reading the counts here keeps this aggregate on the same shuffle as the cells.
-    marks = F.percentile_approx(F.when(seen > 0, F.col(value)), probabilities, 20 * slots)
+    known = f"if({' + '.join(f'`{c}`' for c in counts)} > 0, `{value}`, null)"
+    marks = F.expr(f"percentile_approx({known}, array({cuts}), {20 * slots})")
     marked = attach(cells, cells.groupBy(*by).agg(marks.alias("_marks")), by)
-    upper, slot = _slot("_marks", value, side)
-    slotted = marked.withColumn("_upper", upper).withColumn(CHUNK, slot).drop("_marks", "_upper")
+    slotted = _with_slot(marked, value, side)
     summary = slotted.groupBy(*by, CHUNK).agg(*[F.sum(c).alias(c) for c in counts])
     whole = Window.partitionBy(*by)
     before = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
