@@ -12,7 +12,6 @@ from hourcast.operators.profile import (
     duplicate_profile,
     iqr_outliers,
     quantiles,
-    summary_stats,
 )
 
 RESULT = ("check", "column", "observed", "expected", "passed", "n_bad", "pct_bad")
@@ -210,8 +209,3 @@ def quality_report(df: DataFrame, value: str, limit: float = 0) -> DataFrame:
     return basic.select("rows", F.inline(F.array(*measures))).select(
         "measure", "n", F.try_divide(F.col("n") * F.lit(100.0), F.col("rows")).alias("pct")
     )
-
-
-def describe_values(df: DataFrame, value: str) -> DataFrame:
-    """The descriptive statistics that accompany the sanity report."""
-    return summary_stats(df, [value])

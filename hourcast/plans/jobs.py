@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from hourcast.functions.keys import series_values
 from hourcast.operators import runs as run_tables
 from hourcast.operators.drift import chi2_drift, drift_groups, ks_drift
-from hourcast.operators.lookup import join_scores
-from hourcast.operators.monitor import bias_mape, feedback, one_day, reconcile, regression_metrics
+from hourcast.operators.lookup import join_scores, score
+from hourcast.operators.monitor import bias_mape, one_day, reconcile, regression_metrics
 from hourcast.operators.quality import Check, run_suite
 from hourcast.operators.resample import resample
 from hourcast.operators.training import (
@@ -41,6 +41,8 @@ from hourcast.sources.tables import (
     exists,
     load,
     merge_into,
+    months_in,
+    months_of,
     replace_table,
     save,
     snapshot,
@@ -165,9 +167,10 @@ def _move(spark: SparkSession, project: Project, version: int, stage: str, archi
 
 
 def ingest(spark: SparkSession, project: Project, clean: DataFrame) -> None:
-    """Merge clean rows into the raw table and rebuild the hourly history from it."""
+    """Merge clean rows into the raw table and renew the history of the months they touch."""
     merge_into(clean, project.path("raw"), [KEY, TS], TS)
-    raw = load(spark, project.path("raw")).drop(MONTH)
+    months = months_in(with_month(clean, TS, MONTH), MONTH)
+    raw = months_of(load(spark, project.path("raw")), months, MONTH).drop(MONTH)
     hourly = resample(raw, [KEY], TS, VALUE, project.features.step, project.resample_agg)
     merge_into(
         hourly.withColumns({VALUE: F.col(VALUE).cast("double"), "ORIGIN": F.lit("actual")}),
@@ -261,9 +264,10 @@ def compare_models(
     """Labels scored by the staging and the production model, joined on the row id."""
     cfg = project.features
     features = load(spark, project.path("features")).drop(MONTH, KEY)
-    rows = training_set(labels, features, [cfg.id_column])
     scored = {
-        stage: load_model(path).transform(rows).withColumnRenamed("prediction", f"{stage}_prediction")
+        stage: score(load_model(path), labels, features, [cfg.id_column]).withColumnRenamed(
+            "prediction", f"{stage}_prediction"
+        )
         for stage, path in paths.items()
     }
     left = scored["staging"].drop("rawFeatures", "features")

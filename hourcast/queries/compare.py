@@ -12,7 +12,6 @@ from hourcast.operators.profile import count_by_series
 from hourcast.operators.sampling import latest
 from hourcast.operators.training import score_to_predictions
 from hourcast.queries.frames import (
-    D,
     H,
     KEYS,
     P,

@@ -130,16 +130,28 @@ def merge_into(
 ) -> None:
     """Upsert a batch into a Parquet table partitioned by month; creates the table.
 
-    Only the months of the batch are read, merged and rewritten.
+    Only the months of the batch are read, merged and rewritten.  The batch is
+    cached while its keys are checked and its months are merged.
     """
     spark = source.sparkSession
-    batch = assert_unique(with_month(source, ts, month), keys)
-    if not exists(spark, path):
-        if insert:
-            save(batch, path, [month])
-        return
-    # Few values: one per calendar month that the batch touches.
-    months = [r[0] for r in batch.select(month).distinct().collect()]
-    target = load(spark, path).withColumn(month, F.col(month).cast("string"))
-    touched = target.filter(F.col(month).isin(months))
-    write_back(upsert(touched, batch, keys, update, insert), path, [month])
+    batch = with_month(source, ts, month).persist()
+    try:
+        assert_unique(batch, keys)
+        if not exists(spark, path):
+            if insert:
+                save(batch, path, [month])
+            return
+        touched = months_of(load(spark, path), months_in(batch, month), month)
+        write_back(upsert(touched, batch, keys, update, insert), path, [month])
+    finally:
+        batch.unpersist()
+
+
+def months_in(df: DataFrame, month: str = "month_key") -> list[str]:
+    """The months that occur: one value per calendar month (runs a job)."""
+    return [row[0] for row in df.select(month).distinct().collect()]
+
+
+def months_of(table: DataFrame, months: Sequence[str], month: str = "month_key") -> DataFrame:
+    """The partitions of some months."""
+    return table.withColumn(month, F.col(month).cast("string")).filter(F.col(month).isin(list(months)))
