@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hourcast.llm import langid, licenses, mixing, tokenfiles
+from hourcast.llm import jaccard, langid, licenses, linededup, mixing, packing, quality, tokenfiles
 from hourcast.llm.common import scratch, settle, tables_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +55,29 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from all documents, and their positions in training."""
     return mixing.mix_sources(tables_of(spark, sf_dir, "documents"))
+
+
+@query("op5_window_packing")
+def window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 4096 tokens."""
+    return packing.pack_documents(tables_of(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_importance_resampling")
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents towards those labelled good, and a sample of half of them."""
+    return quality.resample(tables_of(spark, sf_dir, "documents"), tables_of(spark, sf_dir, "labels"))
+
+
+@query("op2_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines deleted from all documents, and what is left of them."""
+    out = linededup.dedup_lines(tables_of(spark, sf_dir, "documents"))
+    left = F.coalesce(F.col("text"), F.lit(""))
+    return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_deleted").cast("long"), F.octet_length(left).cast("long").alias("n_bytes_left"), F.crc32(left.cast("binary")).alias("text_crc32"))
+
+
+@query("op10_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents that share at least 85 % of their 4-word shingles."""
+    return jaccard.jaccard_groups(tables_of(spark, sf_dir, "documents"))
