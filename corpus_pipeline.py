@@ -1,16 +1,70 @@
-"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, mixing sources, packing."""
+"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, mixing sources to target weights, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all documents that the stage before it kept, and returns documents with the same columns; the last
+returns pieces of training sequences. ``run`` writes every result as Parquet to the shared folder and reads it again for the next stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hourcast.llm import jaccard, langid, linededup, mixing, packing
+from hourcast.llm.common import saved, settle
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found (learned from labelled documents of this input that are not held out), with it in ``lang``.
+
+    NULL texts and texts without a letter go, all others stay.
+    """
+    settle(spark)
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later repeated runs of lines; those of which no word is left go. ``n_chars`` is counted anew."""
+    settle(spark)
+    out = linededup.dedup_lines(docs)
+    out = out.filter((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return out.select(*columns)
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (85 % of 4-word shingles in common, by chains of links)."""
+    settle(spark)
+    return jaccard.one_of_each_group(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, each as often as the mix takes it: not at all, once or twice."""
+    settle(spark)
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    settle(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_copy_stage),
+    ("mixing sources", mixing_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+# SQL cannot express tokenisation, cross-parsing or packing; tests/llm holds run() against a plain version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.split()[0].lower()}")
     return docs

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,11 @@ def settle(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.requireAllClusterKeysForDistribution", "true")
+    # Python workers import this package: they look where the driver found it (on a cluster it is installed, or sent with --py-files)
+    context, root = spark.sparkContext, str(Path(__file__).resolve().parents[2])
+    known = context.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
     return spark
 
 

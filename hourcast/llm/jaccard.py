@@ -60,7 +60,7 @@ def ordered(elements: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndar
 
 
 def text_only(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text").alias("text_hash"))
 
 
 def frequent_elements(docs: DataFrame, size: int, percent: int) -> np.ndarray:
@@ -81,7 +81,7 @@ def frequent_elements(docs: DataFrame, size: int, percent: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), sid (name of the set) and prefix of every text."""
+    """doc_id, text_hash, n (set size), sid (name of the set), signature and prefix of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,14 +92,15 @@ def profiles(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
             flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
             columns = [
                 batch.column(0),
+                batch.column(2),
                 pa.array([len(s) for s in found], pa.int64()),
                 pa.array([name_of(s) for s in found], pa.binary()),
                 pa.array([signature(s) for s in found], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(flat)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sid", "signature", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "sid", "signature", "prefix"])
 
-    return text_only(docs).mapInArrow(run, "doc_id long, n long, sid binary, signature binary, prefix array<long>")
+    return text_only(docs).mapInArrow(run, "doc_id long, text_hash long, n long, sid binary, signature binary, prefix array<long>")
 
 
 def shared_lists(sets: DataFrame) -> DataFrame:
@@ -256,7 +257,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text): groups of texts joined by chains of links.
+    """doc_id, n_shingles, component_id and text_hash of every row of ``docs`` (doc_id, text): groups of texts joined by chains of links.
 
     Words are split at ASCII white space, A-Z lower-cased; a set has the distinct runs of ``size`` words (fewer words: one run of all). Two sets link
     when 100 * intersection >= percent * union. Shingles are compared by 64-bit hashes, sets by 128-bit names.
@@ -291,7 +292,35 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
         classes = lower.join(upper, "component", "left").select("node", F.coalesce("top", "component").alias("component")).distinct()
     grouped = sets.select("uid", "sid", "least").join(classes.withColumnRenamed("node", "uid"), "uid", "left")
     grouped = grouped.withColumn("component", F.coalesce("component", "uid"))
-    lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"), "text_hash")
+
+
+def one_of_each_group(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """The documents without near copies: of each group of ``jaccard_groups`` the row with the smallest doc_id stays (of several, the one with the
+    smallest hash of the text; of equal rows, one). Texts without words stay. Columns are those of the input."""
+    groups = jaccard_groups(docs, size, percent)
+    chosen = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    chosen = chosen.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__text")).withColumn("__copy", F.lit(1))
+    blank = groups.filter("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct().withColumn("__copy", F.lit(None).cast("int"))
+    number = F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long"), "__hash").orderBy("__hash"))
+    marked = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__number", number)
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
+    kept = marked.join(chosen.unionByName(blank), match).filter(F.col("__copy").isNull() | (F.col("__number") == 1))
+    return kept.select(*docs.columns)
     answer = grouped.join(lowest, "component").select("sid", "component_id")
-    rows = table.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(answer, "sid", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"))
+    rows = table.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "sid").join(answer, "sid", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"), "text_hash")
+
+
+def one_of_each_group(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """The documents without near copies: of each group of ``jaccard_groups`` the row with the smallest doc_id stays (of several, the one with the
+    smallest hash of the text; of equal rows, one). Texts without words stay. Columns are those of the input."""
+    groups = jaccard_groups(docs, size, percent)
+    chosen = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    chosen = chosen.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__text")).withColumn("__copy", F.lit(1))
+    blank = groups.filter("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct().withColumn("__copy", F.lit(None).cast("int"))
+    number = F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long"), "__hash").orderBy("__hash"))
+    marked = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__number", number)
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
+    kept = marked.join(chosen.unionByName(blank), match).filter(F.col("__copy").isNull() | (F.col("__number") == 1))
+    return kept.select(*docs.columns)

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourcast.llm.common import bytes_of
@@ -136,6 +137,17 @@ class Model:
             score = np.ones(len(best))
         return [self.languages[b] for b in best], score, found[best, np.arange(len(best))]
 
+    def answer(self, lower: pa.Array, lettered: pa.Array) -> list[pa.Array]:
+        """Language, score, phrases and number of parsed bytes of lower-case texts; those without a letter are undecided."""
+        flat, offsets = normal(*bytes_of(lower))
+        asked = np.array(lettered.to_pylist(), bool)
+        if self.languages:
+            names, score, phrases = self.decide(flat, offsets)
+        else:
+            names, score, phrases = [UNDECIDED] * len(asked), np.zeros(len(asked)), np.zeros(len(asked), np.int64)
+        names = pa.array([n if ok else UNDECIDED for n, ok in zip(names, asked)], pa.string())
+        return [names, pa.array(np.where(asked, score, 0.0)), pa.array(phrases, pa.int64()), pa.array(np.diff(offsets))]
+
 
 def held_out():
     return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3) == 1
@@ -146,8 +158,6 @@ def labelled_samples(docs: DataFrame, per_language: int, total: int) -> dict[str
 
     Whole documents are taken in the order of a hash of their id, at most one per 512 bytes asked for; the ids are chosen without reading texts.
     """
-    from pyspark.sql import Window
-
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     languages = max(1, known.select("lang").distinct().count())
@@ -173,21 +183,33 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     NULL texts, and texts without a letter, are ``und`` with score 0; so is every text if the model knows no language. Equal costs go to the smaller
     name. A map over the rows; the model is broadcast, its size is bounded by ``fit``.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in rows:
-            flat, offsets = normal(*bytes_of(batch.column(2)))
-            lettered = np.array(batch.column(3).to_pylist(), bool)
-            if model.languages:
-                names, score, phrases = model.decide(flat, offsets)
-            else:
-                names, score, phrases = [UNDECIDED] * len(lettered), np.zeros(len(lettered)), np.zeros(len(lettered), np.int64)
-            names = [n if ok else UNDECIDED for n, ok in zip(names, lettered)]
-            columns = [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(phrases, pa.int64()), pa.array(np.diff(offsets))]
+            names, score, phrases, size = shared.value.answer(batch.column(2), batch.column(3))
+            columns = [batch.column(0), batch.column(1), names, score, phrases, size]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in RESULT.split(", ")])
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), held_out(), F.lower("text").cast("binary"), lettered).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long"), held_out(), *_asked()).mapInArrow(run, RESULT)
+
+
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose language is found, with it in the column ``lang``; texts that are ``und`` go. Other columns are as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.withColumn("lang", F.lit("").cast("string")).schema
+    at, width = docs.columns.index("lang"), len(docs.columns)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            columns = batch.columns[:width]
+            columns[at] = shared.value.answer(batch.column(width), batch.column(width + 1))[0]
+            known = pc.not_equal(columns[at], UNDECIDED)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width]).filter(known)
+
+    return docs.select("*", *_asked()).mapInArrow(run, schema)
+
+
+def _asked() -> list:
+    """What a prediction reads: the lower-case text, and whether it has a letter."""
+    return [F.lower("text").cast("binary").alias("__lower"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__lettered")]

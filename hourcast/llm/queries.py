@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourcast.llm import jaccard, langid, licenses, linededup, mixing, packing, quality, tokenfiles
+from hourcast.llm import ann, jaccard, langid, licenses, linededup, mixing, neardup, packing, quality, tokenfiles
 from hourcast.llm.common import scratch, settle, tables_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,4 +80,16 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_jaccard_join")
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents that share at least 85 % of their 4-word shingles."""
-    return jaccard.jaccard_groups(tables_of(spark, sf_dir, "documents"))
+    return jaccard.jaccard_groups(tables_of(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op3_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all embeddings of one label with a cosine of 0.93 or more."""
+    return neardup.near_duplicates(tables_of(spark, sf_dir, "embeddings"))
+
+
+@query("op9_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of every embedding whose id is divisible by 20."""
+    return ann.nearest(tables_of(spark, sf_dir, "embeddings"))
