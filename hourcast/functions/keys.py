@@ -11,20 +11,8 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)
 
 
-def series_values(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
-    """The category values, fetched to build one flag column each (runs a job).
-
-    More than ``limit`` values is an error: that many columns is not a feature table.
-    """
-    rows = distinct_values(df, column).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values; pass the wanted ones")
-    return [row[0] for row in rows]
-
-
-def one_hot(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:
-    """One 0/1 column per category; a NULL category is 0 everywhere."""
-    values = series_values(df, column) if values is None else values
+def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
+    """One 0/1 column per named category; a NULL category, and one that is not named, is 0 everywhere."""
     return df.withColumns(
         {v: F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in values}
     )

@@ -43,6 +43,22 @@ def epoch_seconds(ts: str | Column) -> Column:
     return column.cast("timestamp").cast("long")
 
 
+def place(ts: str | Column, step: str) -> Column:
+    """A number that grows by ``place_step`` from one step to the next: seconds, or months for calendar steps.
+
+    Calendar steps compare calendar months, so they suit series with one row per step.
+    """
+    column = F.col(ts) if isinstance(ts, str) else ts
+    if is_calendar(step):
+        return (F.year(column) * 12 + F.month(column) - 1).cast("long")
+    return epoch_seconds(column)
+
+
+def place_step(step: str) -> int:
+    count, unit = split_step(step)
+    return count * MONTHS[unit] if unit in MONTHS else step_seconds(step)
+
+
 def truncate(ts: str | Column, step: str, dtype: str = "timestamp_ntz") -> Column:
     """Start of the step (hour, day, 15 minutes, ...) that holds ``ts``; the week starts on Monday."""
     column = F.col(ts) if isinstance(ts, str) else ts

@@ -23,7 +23,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from hourcast.functions.steps import epoch_seconds, step_seconds
+from hourcast.functions.steps import epoch_seconds, place, place_step, step_seconds
 
 CARRY = "_carry"
 CHUNK = "_chunk"
@@ -141,9 +141,9 @@ def overlap_by_time(
     step: str = "hour",
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Blocks of time with the rows of ``back`` earlier steps copied in; the position is in seconds."""
-    seconds = step_seconds(step)
-    return _spread(df.withColumn(POSITION, epoch_seconds(ts)), seconds * max(chunk_rows, 4 * back), seconds * back, 0)
+    """Blocks of time with the rows of ``back`` earlier steps copied in; the position is in seconds, or months."""
+    one = place_step(step)
+    return _spread(df.withColumn(POSITION, place(ts, step)), one * max(chunk_rows, 4 * back), one * back, 0)
 
 
 def block_window(keys: Sequence[str]) -> WindowSpec:

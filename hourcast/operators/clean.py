@@ -68,8 +68,14 @@ def dedupe(df: DataFrame, keys: Sequence[str], prefer: Sequence[str], largest: b
 
     An aggregate instead of a numbered window, so that copies of one key are
     combined on the map side and never gathered in one task.  Ties are broken by
-    the remaining columns, so the result does not depend on the partitioning.
+    the remaining columns that have an order (maps have none), so the result does
+    not depend on the partitioning.
     """
     rest = [c for c in df.columns if c not in (*keys, *prefer)]
-    best = (F.max if largest else F.min)(F.struct(*prefer, *rest))
+    ordered = [c for c in rest if "map<" not in df.schema[c].dataType.simpleString()]
+    if len(ordered) < len(rest):
+        row = F.struct(*prefer, *rest)
+        best = (F.max_by if largest else F.min_by)(row, F.struct(*prefer, *ordered))
+    else:
+        best = (F.max if largest else F.min)(F.struct(*prefer, *rest))
     return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*").select(*df.columns)

@@ -48,9 +48,9 @@ def crosstab(df: DataFrame, feature: str, group: str, values: Sequence[str] = (N
     return wide.select(feature, *[F.coalesce(F.col(v), F.lit(0)).alias(v) for v in values])
 
 
-def _cells(df: DataFrame, features: Sequence[str], group: str, values: Sequence[str]) -> DataFrame:
+def _cells(df: DataFrame, features: Sequence[str], group: str, values: Sequence[str], kind: str = "double") -> DataFrame:
     """Rows of each group per feature and distinct value, in one shuffle for all features."""
-    pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]
+    pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast(kind).alias("value")) for f in features]
     long = df.select(group, F.inline(F.array(*pairs)))
     return (
         long.filter(F.col("value").isNotNull())
@@ -79,10 +79,10 @@ def _chi2_tail(statistic: pd.Series, dof: pd.Series) -> pd.Series:
 def chi2_statistics(df: DataFrame, features: Sequence[str], group: str) -> DataFrame:
     """Chi-square statistic per categorical feature against the two groups.
 
-    A 2x2 table gets the continuity correction.  A feature with a single value
+    Categories are compared as text, so they may be of any type.  A 2x2 table gets the continuity correction.  A feature with a single value
     has no test: statistic and degrees of freedom are NULL.
     """
-    cells = _cells(df, features, group, (OLD, NEW))
+    cells = _cells(df, features, group, (OLD, NEW), "string")
     per_feature = Window.partitionBy("feature")
     sums = cells.select(
         "*",

@@ -149,6 +149,13 @@ def validate(df: DataFrame, suite: Sequence[Check]) -> DataFrame:
     return measured.select(F.inline(outcomes))
 
 
+def row_result(counted: DataFrame, check: str, column: str, expected: str) -> DataFrame:
+    """A result row from a frame with the number of ``bad`` rows and of all ``rows``."""
+    bad = F.col("bad")
+    figures = [F.lit(check), F.lit(column), bad.cast("double"), F.lit(expected), bad == 0, bad, F.try_divide(bad * F.lit(100.0), F.col("rows"))]
+    return counted.select(*[c.alias(n) for c, n in zip(figures, RESULT, strict=True)])
+
+
 SUITE_SCHEMA = (
     "position int, kind string, column string, low string, high string, values array<string>, type string"
 )
@@ -168,10 +175,12 @@ def suite_from_df(table: DataFrame) -> list[Check]:
     """The saved suite; bounds come back as numbers where they are numbers, else as text."""
 
     def bound(text: str | None) -> Any:
-        try:
-            return None if text is None else float(text)
-        except ValueError:
-            return text
+        for kind in (int, float):
+            try:
+                return None if text is None else kind(text)
+            except ValueError:
+                continue
+        return text
 
     return [
         Check(r["kind"], r["column"], bound(r["low"]), bound(r["high"]), tuple(r["values"]), r["type"])

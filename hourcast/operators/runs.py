@@ -40,7 +40,7 @@ def run_row(
 ) -> DataFrame:
     """One run as a row to append to the runs table."""
     texts = {k: str(v) for k, v in params.items()}
-    numbers = {k: float(v) for k, v in metrics.items()}
+    numbers = {k: None if v is None else float(v) for k, v in metrics.items()}
     return spark.createDataFrame(
         [(run_id, experiment, start_time, texts, dict(tags), numbers)], RUNS_SCHEMA
     )
@@ -49,11 +49,15 @@ def run_row(
 def best_per_group(
     df: DataFrame, by: Sequence[str | Column], metric: str, ties: Sequence[str] = ()
 ) -> DataFrame:
-    """The row with the smallest known metric per group, as a map-side combined aggregate."""
+    """The row with the smallest known metric per group, as a map-side combined aggregate.
+
+    ``metric`` is a column or an expression such as ``metrics['MAE']``; ``ties`` decide between equal metrics.
+    Only these are compared, so other columns may be of any type.
+    """
     named = [F.col(b) if isinstance(b, str) else b for b in by]
-    rest = [c for c in df.columns if c not in (metric, *ties, *[b for b in by if isinstance(b, str)])]
-    best = F.min(F.struct(metric, *ties, *rest)).alias("_best")
-    out = df.filter(F.col(metric).isNotNull()).groupBy(*named).agg(best)
+    rest = [c for c in df.columns if c not in [b for b in by if isinstance(b, str)]]
+    best = F.min_by(F.struct(*rest), F.struct(F.expr(metric).alias("_metric"), *ties)).alias("_best")
+    out = df.filter(F.expr(metric).isNotNull()).groupBy(*named).agg(best)
     return out.select(*[c for c in out.columns if c != "_best"], "_best.*")
 
 
@@ -80,6 +84,11 @@ def latest_run(
     return latest(runs, ts, by, [run_id])
 
 
+def run_metrics(runs: DataFrame, names: Sequence[str], by: Sequence[str] = ("run_id",)) -> DataFrame:
+    """The named entries of the metrics map as columns, the layout that ``gate`` reads."""
+    return runs.select(*by, *[F.col("metrics")[n].alias(n) for n in names])
+
+
 def gate(metrics: DataFrame, thresholds: Mapping[str, float] = THRESHOLDS, by: Sequence[str] = ()) -> DataFrame:
     """One row per metric with limit and status; ``all_passed`` repeats the overall verdict.
 
@@ -128,14 +137,17 @@ def latest_per_stage(versions: DataFrame, by: Sequence[str] = ("name", "current_
 
 
 def transition(
-    versions: DataFrame, chosen: Column, stage: str, archive_existing: bool = False
+    versions: DataFrame, chosen: Column, stage: str, archive_existing: bool = False, model: str = "name"
 ) -> DataFrame:
-    """Move the chosen rows to a stage; optionally archive the rows that held it."""
+    """Move the chosen rows to a stage; optionally archive the rows of the same models that held it."""
     current = F.col("current_stage")
     moved = F.when(chosen, F.lit(stage))
-    if archive_existing:
-        moved = moved.when(current == stage, F.lit("Archived"))
-    return versions.withColumn("current_stage", moved.otherwise(current))
+    if not archive_existing:
+        return versions.withColumn("current_stage", moved.otherwise(current))
+    models = versions.filter(chosen).select(F.col(model).alias("_moved")).distinct()
+    marked = versions.join(models, F.col(model).eqNullSafe(F.col("_moved")), "left").withColumn("_own", F.col("_moved").isNotNull())
+    moved = moved.when(F.col("_own") & (current == stage), F.lit("Archived"))
+    return marked.withColumn("current_stage", moved.otherwise(current)).drop("_moved", "_own")
 
 
 def choose_champion(

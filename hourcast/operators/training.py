@@ -7,16 +7,21 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import MinMaxScaler, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import VectorAssembler, VectorIndexer
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hourcast.functions.keys import id_to_series, row_id
+from hourcast.operators.chunks import attach
 from hourcast.operators.clean import between_ts
 from hourcast.operators.lookup import lookup_equal
+from hourcast.operators.profile import minmax
 
 Bounds = Mapping[str, tuple[Any, Any]]
 
@@ -78,11 +83,57 @@ class RegressorConfig:
     max_categories: int = 3
 
 
-def assemble(columns: Sequence[str], out: str = "rawFeatures", invalid: str = "keep") -> VectorAssembler:
+class _KnownParams(Params):
+    """Columns that may be NULL; ``x`` gets ``x__filled`` and ``x__known``."""
+
+    columns = Param(Params._dummy(), "columns", "columns to complete", TypeConverters.toListString)
+
+    def outputs(self) -> list[str]:
+        names = self.getOrDefault("columns")
+        return [f"{c}__filled" for c in names] + [f"{c}__known" for c in names]
+
+
+class FillUnknown(Estimator, _KnownParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Learns the mean of each column, one aggregate over the rows; a column without any value gets 0.
+
+    No row is lost, in fitting or in scoring: a NULL (or NaN) becomes the mean of the training rows, and a flag tells the regressor that it was one.
+    """
+
+    @keyword_only
+    def __init__(self, columns: Sequence[str] | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> FilledModel:
+        names = self.getOrDefault("columns")
+        means = dataset.agg(*[F.avg(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None))).alias(c) for c in names]).first()
+        return FilledModel(columns=names, means=[0.0 if m is None else float(m) for m in means])
+
+
+class FilledModel(Model, _KnownParams, DefaultParamsReadable, DefaultParamsWritable):
+    """The learned means, applied as plain projections."""
+
+    means = Param(Params._dummy(), "means", "value for unknown cells, by column", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, columns: Sequence[str] | None = None, means: Sequence[float] | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        values = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in self.getOrDefault("columns")}
+        filled = {f"{c}__filled": F.coalesce(v, F.lit(m)) for (c, v), m in zip(values.items(), self.getOrDefault("means"), strict=True)}
+        return dataset.withColumns(filled | {f"{c}__known": v.isNotNull().cast("double") for c, v in values.items()})
+
+
+ASSEMBLED = "assembled"
+
+
+def assemble(columns: Sequence[str], out: str = ASSEMBLED, invalid: str = "error") -> VectorAssembler:
     return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid=invalid)
 
 
-def index_categories(max_categories: int, column: str = "rawFeatures", out: str = "features") -> VectorIndexer:
+def index_categories(max_categories: int, column: str = ASSEMBLED, out: str = "features") -> VectorIndexer:
     return VectorIndexer(
         inputCol=column, outputCol=out, maxCategories=max_categories, handleInvalid="keep"
     )
@@ -103,9 +154,12 @@ def make_regressor(
 def make_pipeline(
     columns: Sequence[str], label: str, cfg: RegressorConfig = RegressorConfig(), validation: str | None = None
 ) -> Pipeline:
+    """Completed columns, category index, boosted trees: as many predictions as rows."""
+    fill = FillUnknown(columns=list(columns))
     return Pipeline(
         stages=[
-            assemble(columns, invalid="skip"),
+            fill,
+            assemble(fill.outputs()),
             index_categories(cfg.max_categories),
             make_regressor(label, cfg, validation),
         ]
@@ -194,25 +248,14 @@ def tuning_report(spark, fitted: CrossValidatorModel) -> DataFrame:
 
 
 def feature_importance(spark, model: PipelineModel, columns: Sequence[str]) -> DataFrame:
-    weights = model.stages[-1].featureImportances.toArray()
+    """Weight of each column: of its value and of the flag that it is known together."""
+    weights = model.stages[-1].featureImportances.toArray().reshape(2, len(columns)).sum(axis=0)
     rows = [(c, float(w)) for c, w in zip(columns, weights, strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
 
 
-def scaling_pipeline(columns: Sequence[str], label: str) -> Pipeline:
-    """Features and label scaled to [0, 1] by the bounds of the fitting data."""
-    return Pipeline(
-        stages=[
-            assemble(columns, "assembled_features", "skip"),
-            MinMaxScaler(min=0.0, max=1.0, inputCol="assembled_features", outputCol="features"),
-            assemble([label], "label", "skip"),
-            MinMaxScaler(min=0.0, max=1.0, inputCol="label", outputCol="scaled_label"),
-        ]
-    )
-
-
 def minmax_scale(column: Column, low: Column, high: Column) -> Column:
     """Position in the range; a constant column is at 0.5."""
     return F.when(high > low, (column - low) / (high - low)).otherwise(F.when(column.isNotNull(), F.lit(0.5)))
@@ -222,6 +265,13 @@ def minmax_inverse(scaled: Column, low: Column, high: Column) -> Column:
     return scaled * (high - low) + low
 
 
+def scaled_by(df: DataFrame, fitted_on: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:
+    """Columns in units of the range they have in ``fitted_on`` (0 to 1 there), NULL where they are NULL; all rows stay."""
+    bounded = attach(df, minmax(fitted_on, columns), [])
+    scaled = {f"{c}{suffix}": minmax_scale(F.col(c), F.col(f"min_{c}"), F.col(f"max_{c}")) for c in columns}
+    return bounded.withColumns(scaled).drop(*[f"{end}_{c}" for c in columns for end in ("min", "max")])
+
+
 def score_to_predictions(
     scored: DataFrame, ts: str, model_tag: str, id_column: str = "CONSUMPTION_ID", series: str = "COUNTRY"
 ) -> DataFrame:

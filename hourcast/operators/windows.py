@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from hourcast.functions.steps import epoch_seconds, step_seconds
+from hourcast.functions.steps import epoch_seconds, is_calendar, place_step, step_interval, step_seconds
 from hourcast.operators.chunks import (
     BLOCK,
     CHUNK,
@@ -86,10 +86,10 @@ def bfill_blocks(blocks: DataFrame, keys: Sequence[str], ts: str, columns: Seque
 
 
 def lag_value(value: str, n: int, window: WindowSpec, mode: str = "rows", step: str = "hour") -> Column:
-    """The value ``n`` rows before, or exactly ``n`` steps of time before."""
+    """The value ``n`` rows before, or exactly ``n`` steps of time before (ordered by ``place``)."""
     if mode == "rows":
         return F.lag(value, n).over(window)
-    instant = -n * step_seconds(step)
+    instant = -n * place_step(step)
     return F.first(value).over(window.rangeBetween(instant, instant))
 
 
@@ -224,17 +224,29 @@ def time_step(
 
 
 def continuity(df: DataFrame, keys: Sequence[str], ts: str, step: str = "hour") -> DataFrame:
-    """Per series: are all steps regular, is any, how many gaps and missing steps."""
-    seconds = step_seconds(step)
-    gap = F.col("time_diff")
+    """Per series: are all steps regular, is any, how many gaps and missing steps.
+
+    A calendar step is regular if it ends on the same day of the month, or on the last days of both months.
+    """
+    diff = F.col("time_diff")
+    if is_calendar(step):
+        now, size = F.col(ts).cast("timestamp"), place_step(step)
+        before = F.timestamp_seconds(epoch_seconds(ts) - diff)
+        steps = F.months_between(now, before) / size
+        regular, gap, missing = before + step_interval(step) == now, steps > 1, F.floor(steps) - 1
+        ends = (F.last_day(now) == now.cast("date")) & (F.last_day(before) == before.cast("date"))
+        regular = regular | (ends & (steps == 1))
+    else:
+        seconds = step_seconds(step)
+        regular, gap, missing = diff == seconds, diff > seconds, F.floor(diff / seconds) - 1
     return (
         time_step(df, keys, ts, "time_diff", step)
         .groupBy(*keys)
         .agg(
-            F.bool_and(gap == seconds).alias("is_continuous"),
-            F.bool_or(gap == seconds).alias("any_step_ok"),
-            F.count_if(gap > seconds).alias("gaps"),
-            F.coalesce(F.sum(F.when(gap > seconds, F.floor(gap / seconds) - 1)), F.lit(0)).alias("missing_steps"),
+            F.bool_and(regular).alias("is_continuous"),
+            F.bool_or(regular).alias("any_step_ok"),
+            F.count_if(gap).alias("gaps"),
+            F.coalesce(F.sum(F.when(gap, missing)), F.lit(0)).alias("missing_steps"),
         )
     )
 

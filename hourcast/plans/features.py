@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hourcast.functions.calendar import CALENDAR, calendar_parts
 from hourcast.functions.keys import one_hot, row_id
-from hourcast.functions.steps import step_interval
+from hourcast.functions.steps import place, step_interval
 from hourcast.operators.chunks import last_known
 from hourcast.operators.resample import day_spine
 from hourcast.operators.windows import lag_value, moving_value, windowed
@@ -25,26 +25,23 @@ HOURLY_MOVING = {
     "ROLLING_STD_24H": (24, "std", 24),
     "ROLLING_SUM_7D": (168, "sum", 1),
 }
-COUNTRIES = [
-    "belgium", "denmark", "france", "germany", "greece", "italy",
-    "luxembourg", "netherlands", "spain", "sweden", "switzerland",
-]
 
 
 @dataclass(frozen=True)
 class FeatureConfig:
     """What to build; training and serving share it, so their features agree.
 
-    ``mode='rows'`` counts lag periods in rows, ``'time'`` in exact time.
+    ``values`` are the series that get a flag.  Lags are exact in time, so "a day before" is that also after a
+    gap; ``mode='rows'`` counts rows instead.
     ``exclude_current`` keeps the label out of its own moving statistics.
     ``future_min_periods`` lets a series with a short history still be scored.
     """
 
+    values: Sequence[str]
     lags: Mapping[str, int] = field(default_factory=lambda: dict(HOURLY_LAGS))
     moving: Mapping[str, tuple[int, str, int]] = field(default_factory=lambda: dict(HOURLY_MOVING))
-    values: Sequence[str] | None = None
     step: str = "hour"
-    mode: str = "rows"
+    mode: str = "time"
     exclude_current: bool = False
     back_fill: bool = True
     future_min_periods: int = 1
@@ -52,7 +49,7 @@ class FeatureConfig:
     chunk_rows: int = 1024
 
     def __post_init__(self) -> None:
-        names = [*self.lags, *self.moving, *CALENDAR, self.id_column, *(self.values or ())]
+        names = [*self.lags, *self.moving, *CALENDAR, self.id_column, *self.values]
         if len({n.lower() for n in names}) < len(names):
             raise ValueError(f"feature names are not distinct: {names}")
 
@@ -74,7 +71,7 @@ def _finish(df: DataFrame, key: str, ts: str, value: str, cfg: FeatureConfig) ->
 
 
 def build_features(
-    df: DataFrame, key: str, ts: str, value: str, cfg: FeatureConfig = FeatureConfig()
+    df: DataFrame, key: str, ts: str, value: str, cfg: FeatureConfig
 ) -> DataFrame:
     """One feature row per input row, keyed by ``cfg.id_column``; keeps series, time and value.
 
@@ -101,7 +98,7 @@ def build_future_features(
     ts: str,
     value: str,
     day: Column,
-    cfg: FeatureConfig = FeatureConfig(),
+    cfg: FeatureConfig,
 ) -> DataFrame:
     """Feature rows for every step of ``day`` and every row of ``series``.
 
@@ -116,7 +113,7 @@ def build_future_features(
     spine = day_spine(series.select(key), ts, start, cfg.step)
     rows = recent.select(key, ts, value).unionByName(spine, allowMissingColumns=True)
     if cfg.mode == "time":
-        rows = rows.withColumn("_order", F.col(ts).cast("timestamp").cast("long"))
+        rows = rows.withColumn("_order", place(ts, cfg.step))
     else:
         rows = rows.withColumn("_order", F.col(ts))
     window = Window.partitionBy(key).orderBy("_order")

@@ -12,14 +12,17 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hourcast.functions.keys import series_values
+from hourcast.functions.calendar import parse_interval
+from hourcast.functions.keys import id_to_series
+from hourcast.functions.steps import step_seconds, truncate
 from hourcast.operators import runs as run_tables
 from hourcast.operators.drift import chi2_drift, drift_groups, ks_drift
 from hourcast.operators.lookup import join_scores, score
 from hourcast.operators.monitor import bias_mape, one_day, reconcile, regression_metrics
-from hourcast.operators.quality import Check, run_suite
+from hourcast.operators.quality import Check, row_result, run_suite
 from hourcast.operators.resample import resample
 from hourcast.operators.training import (
+    ASSEMBLED,
     Bounds,
     Fit,
     RegressorConfig,
@@ -30,23 +33,27 @@ from hourcast.operators.training import (
     save_model,
     score_to_predictions,
     shift_split,
+    time_folds,
     time_split,
     timed_fit,
     training_set,
+    tune,
+    tuning_report,
 )
 from hourcast.plans.features import FeatureConfig, build_features, build_future_features, feature_columns
+from hourcast.sources.landing import clean_landing, unreadable_rows
 from hourcast.sources.tables import (
     append,
     append_if_absent,
     exists,
     load,
     merge_into,
-    months_in,
-    months_of,
+    months_between,
     replace_table,
-    save,
+    settled,
     snapshot,
     with_month,
+    write_months,
 )
 
 # Column names of the series and prediction tables.
@@ -57,21 +64,37 @@ MONTH = "month_key"
 
 @dataclass(frozen=True)
 class Project:
-    """Where the tables live and what is built."""
+    """Where the tables live and what is built.
+
+    ``stop_early`` holds back the last tenth of the training range and stops boosting when it no longer gains there;
+    ``grid`` maps parameters of the regressor to values tried on contiguous time folds before the fit.
+    """
 
     root: str
+    features: FeatureConfig
     name: str = "load_forecast"
-    features: FeatureConfig = field(default_factory=FeatureConfig)
     regressor: RegressorConfig = field(default_factory=RegressorConfig)
     thresholds: Mapping[str, float] = field(default_factory=lambda: dict(run_tables.THRESHOLDS))
     resample_agg: str = "sum"
+    stop_early: bool = False
+    grid: Mapping[str, Sequence] | None = None
 
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
+    @property
+    def reach(self) -> timedelta:
+        """How far back features look, and one step more."""
+        return timedelta(seconds=step_seconds(self.features.step) * (self.features.reach + 1))
+
+
+def _day(value) -> date:
+    return date.fromisoformat(str(value)[:10])
 
-def _history(spark: SparkSession, project: Project) -> DataFrame:
-    return load(spark, project.path("history")).drop(MONTH)
+
+def _months(spark: SparkSession, project: Project, table: str, start, end) -> DataFrame:
+    """The months of a table that a range of days touches."""
+    return months_between(load(spark, project.path(table)), _day(start), _day(end))
 
 
 def _actuals(history: DataFrame) -> DataFrame:
@@ -81,13 +104,13 @@ def _actuals(history: DataFrame) -> DataFrame:
 
 def _sets(spark: SparkSession, project: Project, bounds: Bounds) -> dict[str, DataFrame]:
     """Training set per range: labels joined to the stored features by row id."""
-    cfg = project.features
-    actual = _actuals(_history(spark, project))
-    features = load(spark, project.path("features")).drop(MONTH, KEY)
-    return {
-        part: training_set(labels_of(rows, KEY, TS, VALUE, cfg.id_column), features, [cfg.id_column])
-        for part, rows in time_split(actual, TS, bounds).items()
-    }
+    key = project.features.id_column
+    sets = {}
+    for part, (start, end) in bounds.items():
+        rows = time_split(_actuals(_months(spark, project, "history", start, end)), TS, {part: (start, end)})[part]
+        features = _months(spark, project, "features", start, end).drop(KEY)
+        sets[part] = training_set(labels_of(rows, KEY, TS, VALUE, key), features, [key])
+    return sets
 
 
 def _inputs(project: Project, df: DataFrame) -> list[str]:
@@ -112,9 +135,20 @@ def _fit_and_log(
     """Fit on 'train', measure on 'test', log the run; returns the gate rows too."""
     sets = _sets(spark, project, bounds)
     columns = _inputs(project, sets["train"])
-    fit = timed_fit(make_pipeline(columns, VALUE, project.regressor), sets["train"].select(VALUE, *columns))
+    train = time_folds(sets["train"], TS, *bounds["train"], folds=10, name="_tenth")
+    train = train.withColumn("_held", F.col("_tenth") == 9).select(VALUE, *columns, "_tenth", "_held")
+    pipeline = make_pipeline(columns, VALUE, project.regressor)
+    if project.grid:
+        folds = train.withColumn("_fold", F.floor(F.col("_tenth") * 3 / 10).cast("int"))
+        tuned = tune(pipeline, project.grid, VALUE, fold_column="_fold").fit(folds)
+        append(tuning_report(spark, tuned).withColumn("run_id", F.lit(run_id)), project.path("tuning"))
+        best = min(range(len(tuned.avgMetrics)), key=tuned.avgMetrics.__getitem__)
+        pipeline = pipeline.copy(tuned.getEstimatorParamMaps()[best])
+    if project.stop_early:
+        pipeline.getStages()[-1].setValidationIndicatorCol("_held")
+    fit = timed_fit(pipeline, train)
     row = _evaluate(fit, sets["test"].select(VALUE, *columns)).first().asDict()
-    measured = spark.createDataFrame([tuple(row.values())], list(row))
+    measured = spark.createDataFrame([tuple(row.values())], ", ".join(f"`{name}` double" for name in row if name != "rows") + ", rows long")
     params = {
         "trees": project.regressor.trees,
         "depth": project.regressor.depth,
@@ -166,18 +200,45 @@ def _move(spark: SparkSession, project: Project, version: int, stage: str, archi
     replace_table(run_tables.transition(load(spark, table), chosen, stage, archive), table)
 
 
-def ingest(spark: SparkSession, project: Project, clean: DataFrame) -> None:
-    """Merge clean rows into the raw table and renew the history of the months they touch."""
+def ingest(spark: SparkSession, project: Project, clean: DataFrame) -> date:
+    """Merge clean rows into the raw table and renew the history of the steps they touch; returns the first day renewed.
+
+    A step may be longer than a month, or span two: all months of the touched steps are read, and only touched steps are renewed.
+    """
     merge_into(clean, project.path("raw"), [KEY, TS], TS)
-    months = months_in(with_month(clean, TS, MONTH), MONTH)
-    raw = months_of(load(spark, project.path("raw")), months, MONTH).drop(MONTH)
-    hourly = resample(raw, [KEY], TS, VALUE, project.features.step, project.resample_agg)
+    append_if_absent(clean.select(KEY).distinct(), project.path("series"), [KEY])
+    step = project.features.step
+    touched = clean.select(truncate(TS, step).alias(TS)).distinct()
+    first, last = touched.agg(F.min(TS), F.max(TS)).first()
+    raw = _months(spark, project, "raw", first, last + timedelta(seconds=step_seconds(step)))
+    hourly = resample(raw, [KEY], TS, VALUE, step, project.resample_agg).join(touched, TS, "left_semi")
     merge_into(
         hourly.withColumns({VALUE: F.col(VALUE).cast("double"), "ORIGIN": F.lit("actual")}),
         project.path("history"),
         [KEY, TS],
         TS,
     )
+    return first.date()
+
+
+def ingest_landing(spark: SparkSession, project: Project, landing: DataFrame, run_id: str, text: str = "datetime", **options) -> DataFrame:
+    """Clean landing rows; rows with unreadable interval text are kept in 'rejected' and counted in 'quality'."""
+    append(unreadable_rows(landing, text).withColumn("run_id", F.lit(run_id)), project.path("rejected"))
+    counted = landing.agg(F.count_if(parse_interval(text).isNull()).alias("bad"), F.count(F.lit(1)).alias("rows"))
+    append(row_result(counted, "readable_time", text, "interval text").withColumn("run_id", F.lit(run_id)), project.path("quality"))
+    return clean_landing(landing, "series", text, ts=TS, out_value=VALUE, **options).withColumnRenamed("series", KEY)
+
+
+def refresh_features(spark: SparkSession, project: Project, first: date) -> None:
+    """Rebuild the features from the month of ``first`` on; earlier months are only read as far as lags reach back."""
+    start = first.replace(day=1)
+    history = load(spark, project.path("history"))
+    if exists(spark, project.path("features")):
+        actual = _actuals(months_between(history, start - project.reach, date(9999, 12, 31)))
+        built = build_features(actual, KEY, TS, VALUE, project.features).filter(F.col(TS) >= F.lit(start).cast("timestamp_ntz"))
+    else:
+        built = build_features(_actuals(history.drop(MONTH)), KEY, TS, VALUE, project.features)
+    write_months(with_month(built.drop(VALUE), TS, MONTH), project.path("features"), [project.features.id_column], MONTH)
 
 
 def train_job(
@@ -194,11 +255,11 @@ def train_job(
 
     ``promote`` moves the first staged model on to production.
     """
-    ingest(spark, project, clean)
-    actual = _actuals(_history(spark, project))
-    append(run_suite(actual, suite, run_id), project.path("quality"))
-    features = build_features(actual, KEY, TS, VALUE, project.features).drop(VALUE)
-    save(with_month(features, TS, MONTH), project.path("features"), [MONTH])
+    first = ingest(spark, project, clean)
+    actual = _actuals(load(spark, project.path("history")).drop(MONTH))
+    if suite:
+        append(run_suite(actual, suite, run_id), project.path("quality"))
+    refresh_features(spark, project, first)
     fit, gate = _fit_and_log(spark, project, bounds, run_id, "training", now)
     if gate.agg(F.bool_and("passed")).first()[0]:
         sets = _sets(spark, project, bounds)
@@ -216,8 +277,8 @@ def daily_job(spark: SparkSession, project: Project, day: date, actuals: DataFra
     )
     append_if_absent(log, project.path("run_log"), log.columns)
 
-    history = _history(spark, project)
-    series = history.select(KEY).distinct()
+    history = _months(spark, project, "history", day - project.reach - timedelta(days=1), day)
+    series = load(spark, project.path("series"))
     start = F.lit(day).cast("timestamp_ntz")
     features = build_future_features(history, series, KEY, TS, VALUE, start, cfg)
     merge_into(features, project.path("features"), [cfg.id_column], TS)
@@ -226,18 +287,18 @@ def daily_job(spark: SparkSession, project: Project, day: date, actuals: DataFra
     if staged is None:
         raise ValueError(f"no production version of {project.name}")
     version, path = staged
-    today = one_day(load(spark, project.path("features")).drop(MONTH, KEY), TS, day)
+    today = one_day(_months(spark, project, "features", day, day).drop(KEY), TS, day)
     scored = load_model(path).transform(today)
     rows = score_to_predictions(scored, TS, f"models:/{project.name}/{version}", cfg.id_column, KEY)
     # A repeated run renews the forecast but keeps an actual that arrived meanwhile.
     merge_into(rows, project.path("predictions"), [KEY, TS], TS, update=[PREDICTED, MODEL])
 
-    predictions = one_day(load(spark, project.path("predictions")).drop(MONTH), TS, day)
+    predictions = one_day(_months(spark, project, "predictions", day, day), TS, day)
     if actuals is not None:
         known = one_day(actuals.select(KEY, TS, VALUE), TS, day)
         settled = reconcile(predictions, known, [KEY, TS], VALUE, PREDICTED, ACTUAL, RESIDUAL)
         merge_into(settled, project.path("predictions"), [KEY, TS], TS)
-        predictions = one_day(load(spark, project.path("predictions")).drop(MONTH), TS, day)
+        predictions = one_day(_months(spark, project, "predictions", day, day), TS, day)
     fed = predictions.select(
         KEY, TS, F.col(PREDICTED).alias(VALUE), F.lit("predicted").alias("ORIGIN")
     )
@@ -250,7 +311,7 @@ def daily_job(spark: SparkSession, project: Project, day: date, actuals: DataFra
 
 def drift_report(df: DataFrame, old_end, new_end, cfg: FeatureConfig, seed: int = 123) -> DataFrame:
     """Chi-square on the series flags and distribution distance on the other features."""
-    flags = list(cfg.values) if cfg.values else series_values(df, KEY)
+    flags = list(cfg.values)
     continuous = ["DAY_OF_WEEK", "QUARTER", "HOUR", *cfg.lags, *cfg.moving]
     groups = drift_groups(df, TS, old_end, new_end, seed, [cfg.id_column])
     chi = chi2_drift(groups, flags, "data_group").select("feature", "statistic", "p_value", "drifted")
@@ -259,19 +320,19 @@ def drift_report(df: DataFrame, old_end, new_end, cfg: FeatureConfig, seed: int
 
 
 def compare_models(
-    spark: SparkSession, project: Project, labels: DataFrame, paths: Mapping[str, str]
+    spark: SparkSession, project: Project, labels: DataFrame, features: DataFrame, paths: Mapping[str, str]
 ) -> DataFrame:
-    """Labels scored by the staging and the production model, joined on the row id."""
+    """Labels scored by the staging and the production model, joined on the row id, with the series back in KEY."""
     cfg = project.features
-    features = load(spark, project.path("features")).drop(MONTH, KEY)
     scored = {
         stage: score(load_model(path), labels, features, [cfg.id_column]).withColumnRenamed(
             "prediction", f"{stage}_prediction"
         )
         for stage, path in paths.items()
     }
-    left = scored["staging"].drop("rawFeatures", "features")
-    return join_scores(left, scored["production"], cfg.id_column, "production_prediction")
+    left = scored["staging"].drop(ASSEMBLED, "features")
+    both = join_scores(left, scored["production"], cfg.id_column, "production_prediction")
+    return id_to_series(both, cfg.id_column, KEY)
 
 
 def retrain_job(
@@ -284,10 +345,8 @@ def retrain_job(
 ) -> DataFrame:
     """Shift the ranges, test for drift, refit, gate, stage, compare with production, promote the better one."""
     moved = shift_split(spark, bounds, months)
-    actual = _actuals(_history(spark, project))
-    features = build_features(actual, KEY, TS, VALUE, project.features).drop(VALUE)
-    save(with_month(features, TS, MONTH), project.path("features"), [MONTH])
-    stored = load(spark, project.path("features"))
+    refresh_features(spark, project, _day(bounds["train"][1]))
+    stored = _months(spark, project, "features", bounds["train"][0], moved["train"][1])
     report = drift_report(stored, bounds["train"][1], moved["train"][1], project.features)
     append(report.withColumn("run_id", F.lit(run_id)), project.path("drift"))
 
@@ -301,10 +360,16 @@ def retrain_job(
         _move(spark, project, version, "Production", archive=True)
         return gate
     staged = _staged_path(spark, project, "Staging")
+    actual = _actuals(_months(spark, project, "history", *moved["test"]))
     test = time_split(actual, TS, {"test": moved["test"]})["test"]
     labels = labels_of(test, KEY, TS, VALUE, project.features.id_column)
-    both = compare_models(spark, project, labels, {"staging": staged[1], "production": production[1]})
-    choice = run_tables.choose_champion(both, VALUE, "staging_prediction", "production_prediction")
-    if choice.first()["champion"] == "Staging":
+    features = _months(spark, project, "features", *moved["test"]).drop(KEY)
+    with settled(compare_models(spark, project, labels, features, {"staging": staged[1], "production": production[1]})) as both:
+        sides = (VALUE, "staging_prediction", "production_prediction")
+        by_series = run_tables.choose_champion(both, *sides, [KEY])
+        append(by_series.withColumn("run_id", F.lit(run_id)), project.path("comparisons"))
+        choice = run_tables.choose_champion(both, *sides)
+        winner = choice.first()["champion"]
+    if winner == "Staging":
         _move(spark, project, staged[0], "Production", archive=True)
     return gate

@@ -8,6 +8,7 @@ from hourcast.queries import (  # noqa: F401
     merge,
     profiles,
     scalars,
+    stored,
     windows,
 )
 from hourcast.queries.registry import ORACLES, QUERIES  # noqa: F401

@@ -149,6 +149,45 @@ def latest_run(spark, sf_dir):
     return run_tables.latest_run(runs(spark, sf_dir), ["experiment"])
 
 
+def run_table(spark, sf_dir):
+    """Events as rows of the runs table, the metrics in a map."""
+    return runs(spark, sf_dir).select(
+        "run_id", "start_time", "experiment", F.create_map(F.lit("MAE"), "mae", F.lit("R2"), F.lit(1.0) - F.col("mae") / 1000).alias("metrics")
+    )
+
+
+@query(
+    "run_table_best_per_day",
+    f"""WITH {R} SELECT run_date, run_id, start_time, experiment, mae FROM (SELECT *, CAST(start_time AS DATE) AS run_date,
+      row_number() OVER (PARTITION BY CAST(start_time AS DATE) ORDER BY mae, start_time, run_id) AS k FROM r) WHERE k = 1""",
+)
+def run_table_best_per_day(spark, sf_dir):
+    best = run_tables.best_run_per_day(run_table(spark, sf_dir), "metrics['MAE']")
+    return best.withColumn("mae", F.col("metrics")["MAE"]).drop("metrics")
+
+
+@query(
+    "run_table_latest",
+    f"""WITH {R} SELECT run_id, start_time, experiment, mae FROM (SELECT *,
+      row_number() OVER (PARTITION BY experiment ORDER BY start_time DESC, run_id DESC) AS k FROM r) WHERE k = 1""",
+)
+def run_table_latest(spark, sf_dir):
+    newest = run_tables.latest_run(run_table(spark, sf_dir), ["experiment"])
+    return newest.withColumn("mae", F.col("metrics")["MAE"]).drop("metrics")
+
+
+@query(
+    "run_table_gate",
+    f"""WITH {R}, l AS (SELECT run_id, 'MAE' AS metric, mae AS value, 200.0::DOUBLE AS threshold, mae <= 200 AS passed FROM r
+        UNION ALL SELECT run_id, 'R2', 1.0::DOUBLE - mae / 1000, 0.9::DOUBLE, 1.0::DOUBLE - mae / 1000 >= 0.9 FROM r)
+    SELECT run_id, metric, value, threshold, passed, bool_and(passed) OVER (PARTITION BY run_id) AS all_passed,
+      CASE WHEN passed THEN 'Test Passed' ELSE 'Test Failed' END AS status FROM l""",
+)
+def run_table_gate(spark, sf_dir):
+    measured = run_tables.run_metrics(run_table(spark, sf_dir), ["MAE", "R2"])
+    return run_tables.gate(measured, {"MAE": 200.0, "R2": 0.9}, ["run_id"])
+
+
 LIMITS = {"MSE": 1_000_000.0, "MAE": 200.0, "RMSE": 400.0, "R2": 0.9}
 
 
@@ -186,13 +225,16 @@ def latest_version(spark, sf_dir):
 
 @query(
     "stage_transition",
-    f"""WITH {V}, c AS (SELECT name, max(version) AS chosen FROM ver WHERE current_stage = 'Staging' GROUP BY 1)
+    f"""WITH {V}, k AS (SELECT * FROM ver WHERE NOT (name = '5-LOW' AND current_stage = 'Staging')),
+      c AS (SELECT name, max(version) AS chosen FROM k WHERE current_stage = 'Staging' GROUP BY 1)
     SELECT name, version, creation_timestamp, CASE WHEN version = chosen THEN 'Production'
-      WHEN current_stage = 'Production' THEN 'Archived' ELSE current_stage END AS current_stage
-    FROM ver LEFT JOIN c USING (name)""",
+      WHEN current_stage = 'Production' AND chosen IS NOT NULL THEN 'Archived' ELSE current_stage END AS current_stage
+    FROM k LEFT JOIN c USING (name)""",
 )
 def stage_transition(spark, sf_dir):
-    all_versions = versions(spark, sf_dir)
+    """The newest staged version of each model goes to production; a model without one keeps what it has."""
+    staged_low = (F.col("name") == "5-LOW") & (F.col("current_stage") == "Staging")
+    all_versions = versions(spark, sf_dir).filter(~staged_low)
     newest = run_tables.latest_per_stage(all_versions).filter(F.col("current_stage") == "Staging")
     chosen = newest.select("name", F.col("version").alias("chosen"))
     marked = all_versions.join(chosen, "name", "left")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from dataclasses import replace
 
-from hourcast.functions.calendar import calendar_features
+from pyspark.sql import Window, functions as F
+
+from hourcast.functions.calendar import CALENDAR, calendar_features
 from hourcast.operators import drift
 from hourcast.operators.sampling import sample_n
 from hourcast.operators.training import (
@@ -16,6 +18,7 @@ from hourcast.operators.training import (
     timed_fit,
 )
 from hourcast.operators.windows import lags
+from hourcast.plans.features import build_features
 from hourcast.queries.compare import rounded
 from hourcast.queries.features import DAILY, daily_features
 from hourcast.queries.frames import CHUNK, D, KEYS, SPLIT_DATE, daily
@@ -46,6 +49,14 @@ _CATEGORY_SQL = " UNION ALL ".join(
 )
 
 
+# Limits of the chi-square distribution at 0.05 / 7, by degrees of freedom.
+_CHI2_LIMITS = {1: 7.237, 3: 12.080, 6: 17.660}
+
+
+def _chi2_limit_sql() -> str:
+    return "CASE dof " + " ".join(f"WHEN {k} THEN {v}" for k, v in _CHI2_LIMITS.items()) + " END"
+
+
 @query(
     "chi2_drift",
     f"""WITH {G}, e AS (SELECT data_group, quarter(ts) AS quarter, isodow(ts) - 1 AS day_of_week, {FLAG_SQL} FROM g),
@@ -55,14 +66,33 @@ _CATEGORY_SQL = " UNION ALL ".join(
       s AS (SELECT *, sum(o) OVER f AS so, sum(n) OVER f AS sn, count(*) OVER f AS k FROM c
         WINDOW f AS (PARTITION BY feature)),
       x AS (SELECT feature, k, o::DOUBLE AS ob, ((o + n) * so)::DOUBLE / (so + sn) AS ex FROM s
-        UNION ALL SELECT feature, k, n, ((o + n) * sn)::DOUBLE / (so + sn) FROM s)
-    SELECT feature, round(sum((abs(ob - ex) - CASE WHEN k = 2 THEN least(0.5, abs(ob - ex)) ELSE 0 END) ** 2 / ex), 6) AS statistic,
-      max(k) - 1 AS dof FROM x GROUP BY 1""",
+        UNION ALL SELECT feature, k, n, ((o + n) * sn)::DOUBLE / (so + sn) FROM s),
+      t AS (SELECT feature, sum((abs(ob - ex) - CASE WHEN k = 2 THEN least(0.5, abs(ob - ex)) ELSE 0 END) ** 2 / ex) AS statistic,
+        max(k) - 1 AS dof FROM x GROUP BY 1)
+    SELECT feature, round(statistic, 6) AS statistic, dof, {_chi2_limit_sql()} < statistic AS drifted FROM t""",
 )
 def chi2(spark, sf_dir):
+    """Text and number categories; drift is decided by the p-value here and by the critical value in SQL."""
     days = calendar_features(flagged(spark, sf_dir), "ts")
     tested = drift.chi2_drift(grouped(days), CATEGORIES, GROUP)
-    return rounded(tested.select("feature", "statistic", "dof"))
+    return rounded(tested.select("feature", "statistic", "dof", "drifted"))
+
+
+@query(
+    "chi2_p_value",
+    f"""WITH {G}, c AS (SELECT series, count(*) FILTER (data_group = 'old') AS o, count(*) FILTER (data_group = 'new') AS n
+        FROM g WHERE series IN ('1-URGENT', '2-HIGH', '5-LOW') GROUP BY 1),
+      s AS (SELECT *, sum(o) OVER () AS so, sum(n) OVER () AS sn FROM c),
+      t AS (SELECT sum((o - (o + n) * so / (so + sn)) ** 2 / ((o + n) * so / (so + sn))
+        + (n - (o + n) * sn / (so + sn)) ** 2 / ((o + n) * sn / (so + sn))) AS x
+        FROM (SELECT o::DOUBLE AS o, n::DOUBLE AS n, so::DOUBLE AS so, sn::DOUBLE AS sn FROM s))
+    SELECT 'series' AS feature, 2 AS dof, round(x, 6) AS statistic, round(exp(-x / 2), 6) AS p_value, exp(-x / 2) < 0.05 AS drifted FROM t""",
+)
+def chi2_p_value(spark, sf_dir):
+    """A text category of three values: with two degrees of freedom the tail is exp(-x / 2)."""
+    days = grouped(daily(spark, sf_dir)).filter(F.col("series").isin("1-URGENT", "2-HIGH", "5-LOW"))
+    out = rounded(drift.chi2_drift(days, ["series"], GROUP))
+    return out.withColumn("dof", F.col("dof").cast("int"))
 
 
 KS_FEATURES = ["v", "lag_1", "lag_7"]
@@ -111,7 +141,16 @@ def ks_on_flags(spark, sf_dir):
     return rounded(drift.ks_drift(days, list(FLAGS.values()), GROUP, rule="pvalue"), 9)
 
 
-@query("drift_groups")
+SAMPLE_ORDER = "md5(series || '|' || CAST(ts AS VARCHAR) || '|123')"
+
+
+@query(
+    "drift_groups",
+    f"""WITH {D}, n AS (SELECT * FROM d WHERE ts > TIMESTAMP '2000-01-01' AND ts <= TIMESTAMP '2000-04-01'),
+      o AS (SELECT *, row_number() OVER (ORDER BY {SAMPLE_ORDER}) AS k FROM d WHERE ts <= TIMESTAMP '2000-01-01')
+    SELECT series, ts, v, 'new' AS data_group FROM n
+    UNION ALL SELECT series, ts, v, 'old' FROM o WHERE k <= (SELECT count(*) FROM n)""",
+)
 def groups(spark, sf_dir):
     return drift.drift_groups(daily(spark, sf_dir), "ts", SPLIT_DATE, "2000-04-01", 123, [*KEYS, "ts"])
 
@@ -165,21 +204,61 @@ def folds(spark, sf_dir):
     return time_folds(daily(spark, sf_dir).drop("v"), "ts", "1995-01-01", "2001-08-02", 3)
 
 
-@query("sample_n")
+@query("sample_n", f"WITH {D} SELECT series, ts, v FROM d ORDER BY {SAMPLE_ORDER} LIMIT 500")
 def sample(spark, sf_dir):
     return sample_n(daily(spark, sf_dir), 500, 123, [*KEYS, "ts"])
 
 
-@query("train_score")
-def train_score(spark, sf_dir):
-    """Fit on the years before 2000 and score the rest, in the layout of the prediction table."""
+def _fitted(spark, sf_dir, cfg):
+    """A model of the years before 2000, the rows of the later years, and the full list of features."""
     rows = daily_features(spark, sf_dir).withColumnsRenamed(FLAGS)
     bounds = {"train": ("1995-01-01", SPLIT_DATE), "test": (SPLIT_DATE, "2100-01-01")}
     parts = time_split(rows, "ts", bounds)
-    calendar = ["DAY_OF_WEEK", "MONTH", "DAY_OF_MONTH"]
-    columns = [*FLAGS.values(), *calendar, *DAILY.lags, *DAILY.moving]
-    pipeline = make_pipeline(columns, "v", RegressorConfig(trees=10, depth=4))
-    fit = timed_fit(pipeline, parts["train"].select("v", *columns))
-    return score_to_predictions(
-        fit.model.transform(parts["test"].drop("series")), "ts", "models:/daily/1", "consumption_id", "series"
-    )
+    columns = [*FLAGS.values(), *CALENDAR, *DAILY.lags, *DAILY.moving]
+    fit = timed_fit(make_pipeline(columns, "v", cfg), parts["train"].select("v", *columns))
+    return fit.model, parts["test"]
+
+
+# Trees and depth of the registered fits; jobs take theirs from RegressorConfig.
+QUERY_MODEL = RegressorConfig(trees=20, depth=5)
+
+
+@query("train_score")
+def train_score(spark, sf_dir):
+    """Fit on the years before 2000 and score the rest, in the layout of the prediction table."""
+    model, test = _fitted(spark, sf_dir, QUERY_MODEL)
+    return score_to_predictions(model.transform(test.drop("series")), "ts", "models:/daily/1", "consumption_id", "series")
+
+
+@query(
+    "train_score_facts",
+    f"""WITH {D} SELECT series, count(*) AS n, count(*) AS finite, true AS beats_mean FROM d
+      WHERE ts >= TIMESTAMP '2000-01-01' GROUP BY 1""",
+)
+def train_score_facts(spark, sf_dir):
+    """What holds of any sound fit: as many finite predictions as rows, closer to the actual values than their mean."""
+    model, test = _fitted(spark, sf_dir, QUERY_MODEL)
+    scored = model.transform(test)
+    near, far = F.avg(F.pow(F.col("prediction") - F.col("v"), 2.0)), F.var_pop("v")
+    finite = F.count_if(F.col("prediction").isNotNull() & ~F.isnan("prediction"))
+    whole = scored.agg((near < far).alias("x")).scalar()
+    return scored.groupBy("series").agg(F.count(F.lit(1)).alias("n"), finite.alias("finite")).withColumn("beats_mean", whole)
+
+
+@query(
+    "score_with_gaps",
+    f"""WITH {D}, k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) AS i FROM d)
+    SELECT series, count(*) AS n, count(*) AS predicted FROM k WHERE (series <> '5-LOW' OR i <= 10) AND (ts >= TIMESTAMP '2000-01-01' OR series = '5-LOW')
+    GROUP BY 1""",
+)
+def score_with_gaps(spark, sf_dir):
+    """A series shorter than its longest lag is scored row by row like the others, though its lags are unknown."""
+    model, test = _fitted(spark, sf_dir, RegressorConfig(trees=3, depth=3))
+    days = daily(spark, sf_dir)
+    first = F.row_number().over(Window.partitionBy("series").orderBy("ts"))
+    short = days.filter(F.col("series") == "5-LOW").withColumn("_i", first).filter("_i <= 10").drop("_i")
+    config = replace(DAILY, back_fill=False)
+    few = build_features(short, "series", "ts", "v", config).withColumnsRenamed(FLAGS)
+    scored = model.transform(test.filter(F.col("series") != "5-LOW").unionByName(few))
+    known = F.count_if(F.col("prediction").isNotNull() & ~F.isnan("prediction"))
+    return scored.groupBy("series").agg(F.count(F.lit(1)).alias("n"), known.alias("predicted"))

@@ -24,6 +24,7 @@ DAILY = FeatureConfig(
     moving={"mean_7": (7, "avg", 7), "std_7": (7, "std", 7), "sum_30": (30, "sum", 1)},
     values=PRIORITIES,
     step="day",
+    mode="rows",
     id_column="consumption_id",
     chunk_rows=CHUNK,
 )

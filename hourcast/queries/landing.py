@@ -63,7 +63,7 @@ def landing_parse(spark, sf_dir):
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM u""",
 )
 def landing_clean(spark, sf_dir):
-    return clean_landing(landing_text(spark, sf_dir), value="v")
+    return clean_landing(landing_text(spark, sf_dir), value="v", step="minute")
 
 
 @query(

@@ -14,7 +14,10 @@ from hourcast.operators.quality import (
     of_type,
     quality_report,
     run_suite,
+    schema_check,
     stddev_between,
+    suite_from_df,
+    suite_to_df,
 )
 from hourcast.queries.frames import D, H, KEYS, N, daily, holed, hourly, raw_events
 from hourcast.queries.registry import query
@@ -36,6 +39,11 @@ def count_by_part(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
+@query("count_by_hour", f"WITH {H} SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM h GROUP BY 1")
+def count_by_hour(spark, sf_dir):
+    return profile.count_by_part(hourly(spark, sf_dir), "ts", "hour")
+
+
 @query("count_by_series", "SELECT event_type AS series, count(*) AS n FROM events GROUP BY 1")
 def count_by_series(spark, sf_dir):
     return profile.count_by_series(raw_events(spark, sf_dir), KEYS)
@@ -237,8 +245,17 @@ def _suite_sql() -> str:
     )
 
 
-@query("expectations", f"WITH {N} {_suite_sql()}")
+@query("expectations", f"WITH {N} SELECT *, 'nightly' AS run_id FROM ({_suite_sql()})")
 def expectations(spark, sf_dir):
-    checked = run_suite(holed(spark, sf_dir), SUITE, "nightly").drop("run_id")
+    checked = run_suite(holed(spark, sf_dir), suite_from_df(suite_to_df(spark, SUITE)), "nightly")
     rounded = F.when(F.col("check") == "stddev_between", F.round("observed", 4)).otherwise(F.col("observed"))
     return checked.withColumn("observed", rounded)
+
+
+@query(
+    "schema_check",
+    """SELECT * FROM (VALUES ('series', 'type', 'int', 'string'), ('step', 'missing', 'string', NULL), ('v', 'unexpected', NULL, 'double'))
+      t("column", problem, expected, actual) WHERE (SELECT count(*) FROM events) >= 0""",
+)
+def schema_problems(spark, sf_dir):
+    return schema_check(hourly(spark, sf_dir), {"series": "int", "ts": "timestamp_ntz", "step": "string"})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hourcast.operators.resample import asfreq_month_end, future_spine, regularize, resample
 from hourcast.operators.windows import (
+    bfill,
     continuity,
     decompose,
     lags,
@@ -16,6 +17,18 @@ from hourcast.operators.windows import (
 from hourcast.queries.frames import CHUNK, D, H, KEYS, MO, STEADY, W, daily, hourly, monthly, steady
 from hourcast.queries.registry import query
 
+# Decomposition by a period of twelve rows, of a table ``mo`` (series, ts, v).
+DECOMPOSE = f"""i AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS i FROM mo),
+      t AS (SELECT *, CASE WHEN count(v) OVER f = 13
+        THEN (sum(v) OVER f - 0.5::DOUBLE * (lag(v, 6) OVER w + lead(v, 6) OVER w)) / 12 END AS trend
+        FROM i WINDOW w AS (PARTITION BY series ORDER BY ts),
+          f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
+      q AS (SELECT series, i % 12 AS ph, avg(v - trend) AS raw FROM t GROUP BY 1, 2),
+      s AS (SELECT series, ph, raw - avg(raw) OVER (PARTITION BY series) AS seasonal FROM q)
+    SELECT t.series, t.ts, v, trend, {STEADY.format("seasonal")} AS seasonal,
+      {STEADY.format("v - trend - seasonal")} AS residual
+    FROM t JOIN s ON s.series = t.series AND s.ph = t.i % 12"""
+
 
 @query(
     "rolling_stats",
@@ -131,16 +144,7 @@ def rolling_7d(spark, sf_dir):
 
 @query(
     "decompose",
-    f"""WITH {MO}, i AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS i FROM mo),
-      t AS (SELECT *, CASE WHEN count(v) OVER f = 13
-        THEN (sum(v) OVER f - 0.5::DOUBLE * (lag(v, 6) OVER w + lead(v, 6) OVER w)) / 12 END AS trend
-        FROM i WINDOW w AS (PARTITION BY series ORDER BY ts),
-          f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
-      q AS (SELECT series, i % 12 AS ph, avg(v - trend) AS raw FROM t GROUP BY 1, 2),
-      s AS (SELECT series, ph, raw - avg(raw) OVER (PARTITION BY series) AS seasonal FROM q)
-    SELECT t.series, t.ts, v, trend, {STEADY.format("seasonal")} AS seasonal,
-      {STEADY.format("v - trend - seasonal")} AS residual
-    FROM t JOIN s ON s.series = t.series AND s.ph = t.i % 12""",
+    f"WITH {MO}, {DECOMPOSE}",
 )
 def decomposed(spark, sf_dir):
     out = decompose(monthly(spark, sf_dir), KEYS, "ts", "v", 12, chunk_rows=16)
@@ -159,3 +163,45 @@ def next_day_spine(spark, sf_dir):
     newest = history.agg(F.date_trunc("day", F.max("ts")).cast("timestamp_ntz").alias("d")).scalar()
     day = newest + F.expr("interval 1 day")
     return future_spine(series, "ts", day, day + F.expr("interval 23 hours"), "hour")
+
+
+@query(
+    "continuity_monthly",
+    f"""WITH {MO}, k AS (SELECT * FROM mo WHERE NOT (series = '5-LOW' AND month(ts) = 2)),
+      g AS (SELECT series, datediff('month', lag(ts) OVER (PARTITION BY series ORDER BY ts), ts) AS s FROM k)
+    SELECT series, bool_and(s = 1) AS is_continuous, bool_or(s = 1) AS any_step_ok,
+      count(*) FILTER (s > 1) AS gaps, CAST(coalesce(sum(s - 1) FILTER (s > 1), 0) AS BIGINT) AS missing_steps
+    FROM g GROUP BY 1""",
+)
+def continuous_months(spark, sf_dir):
+    """Steps of a calendar month, one series with a month missing each year."""
+    gone = (F.col("series") == "5-LOW") & (F.month("ts") == 2)
+    return continuity(monthly(spark, sf_dir).filter(~gone), KEYS, "ts", "month")
+
+
+@query(
+    "lags_time_monthly",
+    f"""WITH {MO} SELECT m.series, m.ts, m.v, a.v AS lag_1, b.v AS lag_12 FROM mo m
+      LEFT JOIN mo a ON a.series = m.series AND a.ts = m.ts - INTERVAL 1 MONTH
+      LEFT JOIN mo b ON b.series = m.series AND b.ts = m.ts - INTERVAL 12 MONTH""",
+)
+def monthly_lags(spark, sf_dir):
+    months = monthly(spark, sf_dir)
+    return lags(months, KEYS, "ts", "v", {"lag_1": 1, "lag_12": 12}, mode="time", step="month", chunk_rows=16)
+
+
+@query(
+    "decompose_month_end",
+    f"""WITH {D}, b AS (SELECT series, date_trunc('month', min(ts)) AS lo, date_trunc('month', max(ts)) AS hi FROM d GROUP BY 1),
+      sp AS (SELECT series, CAST(last_day(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH))) AS TIMESTAMP) AS ts FROM b),
+      e AS (SELECT sp.series, sp.ts, d.v FROM sp LEFT JOIN d ON d.series = sp.series AND d.ts = sp.ts),
+      mo AS (SELECT series, ts, first_value(v IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts
+        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM e),
+      {DECOMPOSE}""",
+)
+def decomposed_month_ends(spark, sf_dir):
+    """The value on each month's last day, gaps filled from the next known one, then decomposed by the year."""
+    ends = asfreq_month_end(daily(spark, sf_dir), KEYS, "ts")
+    filled = bfill(ends, KEYS, "ts", "v", step="month", chunk_rows=16)
+    out = decompose(filled, KEYS, "ts", "v", 12, chunk_rows=16)
+    return out.withColumns({c: steady(c) for c in ("seasonal", "residual")})

@@ -66,8 +66,8 @@ def clean_landing(
     Interval text becomes its start time, values at or below zero become NULL,
     NULLs take the last known value (or are dropped with ``drop_unknown``), and
     one row per series and time remains, the larger value of a doubled hour.
-    Rows whose text cannot be read have no place in a series and are left out;
-    count them with ``unreadable_rows``.
+    Rows whose text cannot be read have no place in a series; they are not part
+    of the result, but of ``unreadable_rows``, which the ingest job counts and keeps.
     """
     rows = landing.select(
         F.col(series), parse_interval(text).cast("timestamp_ntz").alias(ts), F.col(value).alias(out_value)

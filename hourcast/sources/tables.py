@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from datetime import date
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -47,12 +50,32 @@ def create_if_absent(df: DataFrame, name: str, partition_by: Sequence[str] = ())
     save(df, name, partition_by, mode="ignore")
 
 
+def assert_known(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The frame itself, or an error if one of the columns holds a NULL (runs a job)."""
+    if df.filter(" or ".join(f"`{c}` is null" for c in columns)).limit(1).count():
+        raise ValueError(f"NULL in {list(columns)}")
+    return df
+
+
+@contextmanager
+def settled(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows of ``df``, written to the shared folder for as long as they are needed.
+
+    The copy does not read what the plan of ``df`` reads, also not after a lost executor, and is removed afterwards.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def create_feature_table(df: DataFrame, name: str, primary_key: Sequence[str], partition_by: Sequence[str] = ()) -> None:
     """Create a keyed table after checking that the key is unique and never NULL (runs jobs)."""
-    missing = " or ".join(f"`{k}` is null" for k in primary_key)
-    if df.filter(missing).limit(1).count():
-        raise ValueError(f"NULL in primary key {list(primary_key)}")
-    save(assert_unique(df, primary_key), name, partition_by, mode="errorifexists")
+    save(assert_unique(assert_known(df, primary_key), primary_key), name, partition_by, mode="errorifexists")
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
@@ -88,30 +111,29 @@ def append_if_absent(rows: DataFrame, name: str, keys: Sequence[str]) -> None:
     if exists(spark, name):
         rows = rows.join(load(spark, name).select(*keys), list(keys), "left_anti")
     # The list of new rows is fixed before the table it was compared with grows.
-    ensure_checkpoint_dir(spark)
-    append(rows.checkpoint(), name)
+    with settled(rows) as fixed:
+        append(fixed, name)
 
 
-def write_back(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Replace only the partitions that occur in ``df``, which may itself read ``path``.
+# Tasks that write one month, and so the files it gets.
+FILES_PER_MONTH = 4
 
-    The rows are first checkpointed to the shared folder, so the overwrite never
-    reads the files it replaces, also after a lost executor.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    (
-        df.checkpoint()
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by)
-        .parquet(path)
-    )
+
+def by_month(df: DataFrame, spread: Sequence[str], month: str = "month_key") -> DataFrame:
+    """Rows of a month brought together in FILES_PER_MONTH tasks, so that a write leaves few files per month."""
+    return df.repartition(F.col(month), F.pmod(F.xxhash64(*spread), F.lit(FILES_PER_MONTH)))
+
+
+def write_months(df: DataFrame, path: str, spread: Sequence[str], month: str = "month_key") -> None:
+    """Write the months that occur in ``df`` and leave the others as they are; ``df`` must not read ``path``."""
+    writer = by_month(df, spread, month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(month).parquet(path)
 
 
 def replace_table(df: DataFrame, name: str) -> None:
     """Replace a small table by a frame that may itself read it, such as the version table."""
-    ensure_checkpoint_dir(df.sparkSession)
-    save(df.checkpoint(), name)
+    with settled(df) as fixed:
+        save(fixed, name)
 
 
 def with_month(df: DataFrame, ts: str, name: str = "month_key") -> DataFrame:
@@ -131,18 +153,20 @@ def merge_into(
     """Upsert a batch into a Parquet table partitioned by month; creates the table.
 
     Only the months of the batch are read, merged and rewritten.  The batch is
-    cached while its keys are checked and its months are merged.
+    cached while its keys are checked and its months are merged.  A NULL time or
+    key is an error: such a row has no month, and matches nothing.
     """
     spark = source.sparkSession
     batch = with_month(source, ts, month).persist()
     try:
-        assert_unique(batch, keys)
+        assert_unique(assert_known(batch, sorted({*keys, ts})), keys)
         if not exists(spark, path):
             if insert:
-                save(batch, path, [month])
+                write_months(batch, path, keys, month)
             return
         touched = months_of(load(spark, path), months_in(batch, month), month)
-        write_back(upsert(touched, batch, keys, update, insert), path, [month])
+        with settled(upsert(touched, batch, keys, update, insert)) as merged:
+            write_months(merged, path, keys, month)
     finally:
         batch.unpersist()
 
@@ -155,3 +179,12 @@ def months_in(df: DataFrame, month: str = "month_key") -> list[str]:
 def months_of(table: DataFrame, months: Sequence[str], month: str = "month_key") -> DataFrame:
     """The partitions of some months."""
     return table.withColumn(month, F.col(month).cast("string")).filter(F.col(month).isin(list(months)))
+
+
+def months_between(table: DataFrame, start: date, end: date, month: str = "month_key") -> DataFrame:
+    """The partitions of all months from ``start`` to ``end`` (both inclusive), without the partition column.
+
+    The bounds are constants, so Spark lists and opens no other month.
+    """
+    key = F.col(month).cast("string")
+    return table.filter((key >= F.lit(f"{start:%Y-%m}")) & (key <= F.lit(f"{end:%Y-%m}"))).drop(month)

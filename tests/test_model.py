@@ -2,12 +2,14 @@
 
 import math
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from helpers import frame, hour, random_series, rows_of
 from pyspark.sql import functions as F
 
 from hourcast.operators import monitor, runs
+from hourcast.operators.clean import dedupe
 from hourcast.operators.quality import between, not_null
 from hourcast.operators.training import (
     RegressorConfig,
@@ -20,16 +22,19 @@ from hourcast.operators.training import (
     minmax_scale,
     save_model,
     save_pipeline,
-    scaling_pipeline,
+    scaled_by,
     shift_split,
     time_folds,
     timed_fit,
     tune,
     tuning_report,
 )
+from hourcast.operators.drift import chi2_drift
+from hourcast.operators.windows import continuity, lags
 from hourcast.plans import jobs
 from hourcast.plans.features import FeatureConfig, build_features, build_future_features
-from hourcast.sources.tables import load
+from hourcast.session import ensure_checkpoint_dir
+from hourcast.sources.tables import FILES_PER_MONTH, load, merge_into
 
 SMALL = FeatureConfig(
     lags={"l24": 24, "l48": 48},
@@ -93,7 +98,7 @@ def test_month_lag_is_found_whatever_the_month(spark, days):
 
 def test_feature_names_must_differ():
     with pytest.raises(ValueError):
-        FeatureConfig(lags={"month": 720})
+        FeatureConfig(values=[], lags={"month": 720})
 
 
 def errors(spark):
@@ -136,6 +141,21 @@ def test_runs(spark):
     assert runs.latest_run(df).first()["run_id"] == "r5"
 
 
+def test_run_table_with_maps(spark):
+    rows = [("r1", 1, 5.0), ("r2", 2, 3.0), ("r3", 3, 3.0), ("r4", 30, None), ("r5", 31, 8.0)]
+    table = None
+    for name, at, mae in rows:
+        row = runs.run_row(spark, name, "e", hour(at), {"trees": 3}, {"kind": "t"}, {"MAE": mae, "R2": None})
+        table = row if table is None else table.unionByName(row)
+    assert rows_of(runs.best_run_per_day(table, "metrics['MAE']"), "run_id") == [("r2",), ("r5",)]
+    assert runs.latest_run(table).first()["run_id"] == "r5"
+    assert rows_of(runs.latest_run(table, ["experiment"]), "run_id") == [("r5",)]
+    gated = runs.gate(runs.run_metrics(table, ["MAE", "R2"]), {"MAE": 4.0, "R2": 0.5}, ["run_id"])
+    assert rows_of(gated.filter("metric = 'MAE' and passed"), "run_id") == [("r2",), ("r3",)]
+    kept = dedupe(table, ["experiment"], ["start_time"])
+    assert rows_of(kept, "run_id") == [("r5",)] and kept.columns == table.columns
+
+
 def test_gate(spark):
     values = (1e9, 10.0, 20.0, 0.95, 1.0)
     good = spark.createDataFrame([values], list(runs.THRESHOLDS))
@@ -155,6 +175,10 @@ def test_versions(spark):
     assert rows_of(runs.latest_per_stage(v), "current_stage", "version") == [("Archived", 1), ("None", 4), ("Production", 2), ("Staging", 3)]
     moved = runs.transition(v, F.col("version") == 3, "Production", archive_existing=True)
     assert rows_of(moved, "version", "current_stage") == [(1, "Archived"), (2, "Archived"), (3, "Production"), (4, "None")]
+    other = frame(spark, [("n", 5, "Production", hour(5), "p5")], runs.VERSIONS_SCHEMA)
+    both = runs.transition(v.unionByName(other), (F.col("name") == "m") & (F.col("version") == 3), "Production", True)
+    assert rows_of(both.filter("current_stage = 'Production'"), "name", "version") == [("m", 3), ("n", 5)]
+    assert both.columns == v.columns
     kept = runs.transition(v, F.col("version") == 4, "Staging")
     assert rows_of(kept.filter("current_stage = 'Staging'"), "version") == [(3,), (4,)]
     assert runs.next_version(v, "m", "x", hour(0)).first()["version"] == 5
@@ -169,8 +193,9 @@ def test_champion(spark, staging, winner):
 
 def test_scaling(spark):
     df = frame(spark, [(201.0, 1.0), (324310.0, 3.0), (1000.0, 2.0)], "y double, x double")
-    model = scaling_pipeline(["x"], "y").fit(df)
-    assert sorted(float(r["scaled_label"][0]) for r in model.transform(df).collect())[::2] == [0.0, 1.0]
+    more = df.unionByName(frame(spark, [(None, 5.0)], "y double, x double"))
+    assert rows_of(scaled_by(more, df, ["x", "y"]).orderBy("x"), "x", "x_scaled", "y_scaled")[-1] == (5.0, 2.0, None)
+    assert sorted(r[0] for r in scaled_by(df, df, ["y"]).select("y_scaled").collect())[::2] == [0.0, 1.0]
     low, high = F.lit(201.0), F.lit(324310.0)
     back = df.select("y", minmax_inverse(minmax_scale(F.col("y"), low, high), low, high).alias("b"))
     assert all(r["b"] == pytest.approx(r["y"]) for r in back.collect())
@@ -209,8 +234,22 @@ def test_training(spark, tmp_path):
 def test_early_stopping(spark):
     df = training_rows(spark).withColumn("held_out", F.hour("ts") >= 18)
     assert make_regressor("y", TINY, "held_out").getValidationIndicatorCol() == "held_out"
-    model = make_pipeline(["h", "w"], "y", RegressorConfig(trees=30, depth=2, rate=1.0), "held_out").fit(df)
-    assert model.stages[-1].getNumTrees <= 30
+    noisy = df.withColumn("y", F.pmod(F.xxhash64("ts"), F.lit(97)).cast("double"))
+    config = RegressorConfig(trees=30, depth=4, rate=1.0)
+    # Nothing can be learned here, so more trees only fit noise and boosting stops; without held-out rows it does not.
+    assert make_pipeline(["h", "w"], "y", config, "held_out").fit(noisy).stages[-1].getNumTrees < 30
+    assert make_pipeline(["h", "w"], "y", config).fit(noisy).stages[-1].getNumTrees == 30
+
+
+def test_no_row_is_lost_in_fit_and_score(spark, tmp_path):
+    df = training_rows(spark).withColumn("w", F.when(F.col("h") > 3, F.col("w"))).withColumn("none", F.lit(None).cast("double"))
+    columns = ["h", "w", "none"]
+    fit = timed_fit(make_pipeline(columns, "y", TINY), df)
+    scored = fit.model.transform(df)
+    assert scored.count() == 600 == scored.filter("prediction is not null and not isnan(prediction)").count()
+    assert len(feature_importance(spark, fit.model, columns).collect()) == 3
+    again = load_model(save_model(fit.model, str(tmp_path), 1)).transform(df)
+    assert rows_of(again, "ts", "prediction") == rows_of(scored, "ts", "prediction")
 
 
 def test_tuning(spark):
@@ -279,3 +318,88 @@ def test_jobs(spark, project):
     assert stages in ([(1, "Archived"), (2, "Production")], [(1, "Production"), (2, "Staging")])
     assert table("drift").filter("test = 'ks'").count() == 5
     assert table("runs").count() == 2
+    assert rows_of(table("comparisons"), "COUNTRY") == [("a",), ("b",)]
+
+
+def test_jobs_read_only_the_months_they_need(spark, project):
+    """Runs after test_jobs, on its tables."""
+    day = date(2024, 3, 11)
+    for name in ("history", "features", "predictions"):
+        plan = jobs._months(spark, project, name, day, day)._jdf.queryExecution().executedPlan().toString()
+        assert "month_key" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    files = load(spark, project.path("history")).select("month_key", F.input_file_name().alias("f")).distinct().groupBy("month_key").count()
+    assert files.agg(F.max("count")).first()[0] <= FILES_PER_MONTH
+
+
+def test_checkpoints_are_removed(spark, tmp_path):
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.glob("settled-*")}
+    for shift in (0.0, 1.0):
+        merge_into(frame(spark, [("a", hour(0), shift), ("b", hour(900), shift)]), str(tmp_path / "t"), ["series", "ts"], "ts")
+    assert {p.name for p in folder.glob("settled-*")} == before
+
+
+def test_merge_refuses_unknown_times(spark, tmp_path):
+    rows = [("a", hour(0), 1.0), ("a", None, 2.0)]
+    with pytest.raises(ValueError, match="NULL"):
+        merge_into(frame(spark, rows), str(tmp_path / "t"), ["series", "ts"], "ts")
+
+
+def test_ingest_renews_whole_steps(spark, tmp_path):
+    weekly = jobs.Project(str(tmp_path), features=FeatureConfig(values=["a"], step="week"))
+    first = [("a", datetime(2024, 1, 30), 1.0), ("a", datetime(2024, 1, 31), 10.0), ("a", datetime(2024, 1, 22), 5.0)]
+    jobs.ingest(spark, weekly, renamed(frame(spark, first)))
+    jobs.ingest(spark, weekly, renamed(frame(spark, [("a", datetime(2024, 2, 1), 100.0)])))
+    history = load(spark, weekly.path("history"))
+    assert rows_of(history, "DATETIME", "HOURLY_CONSUMPTION_MW") == [(datetime(2024, 1, 22), 5.0), (datetime(2024, 1, 29), 111.0)]
+
+
+def test_unreadable_landing_rows_are_kept(spark, tmp_path):
+    project = jobs.Project(str(tmp_path), features=FeatureConfig(values=["a"]))
+    rows = [("a", "01.01.2024 00:00 - 01.01.2024 01:00", 5.0), ("a", "soon", 6.0), ("a", None, 7.0)]
+    clean = jobs.ingest_landing(spark, project, frame(spark, rows, "series string, datetime string, Actual_MW double"), "run-1")
+    assert clean.count() == 1 and clean.columns == ["COUNTRY", "DATETIME", "HOURLY_CONSUMPTION_MW"]
+    assert load(spark, project.path("rejected")).count() == 2
+    counted = load(spark, project.path("quality")).first()
+    assert (counted["n_bad"], counted["passed"], round(counted["pct_bad"])) == (2, False, 67)
+
+
+def test_training_with_early_stopping_and_grid(spark, tmp_path):
+    project = jobs.Project(
+        str(tmp_path),
+        features=FeatureConfig(lags={"l24": 24}, moving={"m": (24, "avg", 24)}, values=["a", "b"], chunk_rows=100),
+        regressor=RegressorConfig(trees=4, depth=2),
+        thresholds={"MSE": 1e9},
+        stop_early=True,
+        grid={"maxDepth": [1, 3]},
+    )
+    bounds = {"train": (date(2024, 1, 1), date(2024, 1, 25)), "test": (date(2024, 1, 25), date(2024, 2, 5))}
+    jobs.train_job(spark, project, renamed(frame(spark, full_series(24 * 40))), bounds, [], "run-1", datetime(2024, 3, 1))
+    tried = load(spark, project.path("tuning")).collect()
+    assert sorted(r["params"]["maxDepth"] for r in tried) == ["1", "3"] and sum(r["best"] for r in tried) == 1
+
+
+def test_empty_test_range_fails_the_gate(spark, tmp_path):
+    project = jobs.Project(
+        str(tmp_path), features=FeatureConfig(lags={"l24": 24}, moving={}, values=["a", "b"], chunk_rows=100), regressor=TINY, thresholds={"MSE": 1e9}
+    )
+    bounds = {"train": (date(2024, 1, 1), date(2024, 1, 9)), "test": (date(2025, 1, 1), date(2025, 1, 2))}
+    gate = jobs.train_job(spark, project, renamed(frame(spark, full_series(24 * 9))), bounds, [], "run-1", datetime(2024, 3, 1))
+    assert [r["passed"] for r in gate.collect()] == [False]
+
+
+def test_calendar_steps(spark):
+    months = [("a", datetime(2024, m, 1), float(m)) for m in range(1, 9)] + [("b", datetime(2024, m, 1), float(m)) for m in (1, 2, 5)]
+    df = frame(spark, months)
+    found = rows_of(continuity(df, ["series"], "ts", "month"))
+    assert found == [("a", True, True, 0, 0), ("b", False, True, 1, 2)]
+    lagged = lags(df, ["series"], "ts", "v", {"l": 1}, mode="time", step="month", chunk_rows=2)
+    assert [r["l"] for r in lagged.orderBy("series", "ts").collect()] == [None, 1, 2, 3, 4, 5, 6, 7, None, 1, None]
+    ends = frame(spark, [("a", datetime(2024, 1, 31), 1.0), ("a", datetime(2024, 2, 29), 1.0), ("a", datetime(2024, 3, 31), 1.0)])
+    assert rows_of(continuity(ends, ["series"], "ts", "month"), "is_continuous") == [(True,)]
+
+
+def test_drift_of_text_categories(spark):
+    rows = [(k, g) for k, g, n in [("x", "old", 30), ("y", "old", 10), ("z", "old", 5), ("x", "new", 10), ("y", "new", 30), ("z", "new", 5)] for _ in range(n)]
+    found = chi2_drift(frame(spark, rows, "k string, g string"), ["k"], "g").first()
+    assert found["dof"] == 2 and found["p_value"] == pytest.approx(math.exp(-found["statistic"] / 2)) and found["drifted"]

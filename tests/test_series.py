@@ -12,7 +12,6 @@ from hourcast.functions.keys import (
     melt_category,
     one_hot,
     one_hot_decode,
-    series_values,
     with_row_id,
 )
 from hourcast.functions.steps import split_step, step_seconds
@@ -126,9 +125,6 @@ def test_flags_round_trip(spark):
     assert [tuple(r) for r in wide.orderBy("ts").select("a", "`b.c`").collect()] == [(1, 0), (0, 1), (0, 0)]
     assert rows_of(one_hot_decode(wide.drop("series"), names, "series"), "v", "series") == [(1.0, "a"), (2.0, "b.c"), (3.0, "")]
     assert rows_of(melt_category(wide.drop("series"), ["ts", "v"], names, "series"), "v", "series") == [(1.0, "a"), (2.0, "b.c")]
-    assert series_values(df.dropna(), "series") == names
-    with pytest.raises(ValueError):
-        series_values(df.dropna(), "series", limit=1)
 
 
 def test_row_id(spark):
