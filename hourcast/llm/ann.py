@@ -6,7 +6,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,42 +95,49 @@ class Tree:
         return out
 
 
-def best(names: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller name."""
-    if len(scores) > k:
-        limit = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= limit)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((names[at], -scores[at]))[:k]]
+HIT = "struct<away:double,least:long,node:long>"
+SPARE = 8
 
 
-def searched(asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """name (of a query) and the k best of one leaf and chunk: arrays of least ids and scores."""
+def best_of_rows(queries: np.ndarray, rows: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best rows of every query, nearest first, ties to the smaller name, and their products.
 
-    def scan(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"name": [], "found": []})
-        dims = int(right["dims"].iloc[0])
-        rows, queries = matrix(right["row"].tolist(), dims), matrix(left["vector"].tolist(), dims)
-        names = right["least"].to_numpy()
-        rough = queries @ rows.T
-        out = []
-        for i in range(len(queries)):
-            scores = rough[i]
-            if len(scores) > k:  # products decide, so all that could still be among the best are taken along
-                edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-                at = np.flatnonzero(scores >= edge - 1e-9 * max(1.0, abs(edge)))
-            else:
-                at = np.arange(len(scores))
-            exact = (rows[at] * queries[i]).sum(axis=1)
-            top = best(names[at], exact, k)
-            out.append([{"score": float(exact[t]), "vector": int(right["node"].iloc[at[t]])} for t in top])
-        return pd.DataFrame({"name": left["name"], "found": out})
-
-    theirs = index.select("node", "least", "dims", F.col("vector").alias("row"), F.col("leaf").alias("its_leaf"), F.col("chunk").alias("its_chunk"))
+    A matrix product finds the few that can be among the best; these are multiplied again, each sum in the same order, so equal vectors have equal
+    products.
+    """
+    rough = queries @ rows.T
+    few = min(len(rows), k + SPARE)
+    at = np.argpartition(-rough, few - 1, axis=1)[:, :few] if few < len(rows) else np.tile(np.arange(len(rows)), (len(queries), 1))
+    exact = (rows[at] * queries[:, None, :]).sum(axis=2)
+    order = np.lexsort((names[at], -exact), axis=1)[:, :k]
+    at, exact = np.take_along_axis(at, order, 1), np.take_along_axis(exact, order, 1)
+    if few < len(rows):
+        near = 1e-9 * np.maximum(1.0, np.abs(exact[:, -1]))
+        for i in np.flatnonzero((rough >= (exact[:, -1] - near)[:, None]).sum(axis=1) > few):  # more ties at the limit than were taken along
+            own = np.flatnonzero(rough[i] >= exact[i, -1] - near[i])
+            score = (rows[own] * queries[i]).sum(axis=1)
+            top = np.lexsort((names[own], -score))[:k]
+            at[i], exact[i] = own[top], score[top]
+    return at, exact
+
+
+def searched(asked: DataFrame, index: DataFrame, k: int, dims: int) -> DataFrame:
+    """name (of a query) and its k best of one leaf and chunk, as one array."""
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["name", "found"]
+        kind = pa.list_(pa.struct([("away", pa.float64()), ("least", pa.int64()), ("node", pa.int64())]))
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.string()), pa.array([], kind)], names=names)
+        rows, least, node = matrix(right["row"].to_pylist(), dims), right["least"].to_numpy(), right["node"].to_numpy()
+        at, score = best_of_rows(matrix(left["vector"].to_pylist(), dims), rows, least, min(k, len(rows)))
+        hits = pa.StructArray.from_arrays([pa.array(-score.reshape(-1)), pa.array(least[at].reshape(-1)), pa.array(node[at].reshape(-1))], fields=list(kind.value_type))
+        offsets = pa.array(np.arange(len(at) + 1) * at.shape[1], pa.int32())
+        return pa.table([left["name"].combine_chunks(), pa.ListArray.from_arrays(offsets, hits)], names=names)
+
+    theirs = index.select("node", "least", F.col("vector").alias("row"), F.col("leaf").alias("its_leaf"), F.col("chunk").alias("its_chunk"))
     pairs = asked.groupBy("leaf", "chunk").cogroup(theirs.groupBy("its_leaf", "its_chunk"))
-    return pairs.applyInPandas(scan, "name string, found array<struct<score:double,vector:long>>")
+    return pairs.applyInArrow(scan, f"name string, found array<{HIT}>")
 
 
 def calibrate(tree: Tree, index: DataFrame, sample: np.ndarray, k: int, recall: float) -> int:
@@ -168,7 +174,7 @@ def nearest(
     recall: float = 0.97,
     sample: int = 20_000,
     probes: int = 200,
-    leaf_rows: int = 256,
+    leaf_rows: int = 1024,
     branching: int = 16,
     most_leaves: int = 1 << 14,
     seed: int = 5,
@@ -217,7 +223,7 @@ def nearest(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["node", "least", "vector", "leaf"])
 
     index = nodes.select("node", "least", "vector").mapInArrow(put, "node long, least long, vector binary, leaf long")
-    index = saved(index.withColumn("dims", F.lit(dims)), "index")
+    index = saved(index, "index")
     queries = nodes.filter("asked = 1").select("name", "vector", "least")
     probe = queries.orderBy(F.xxhash64("least", F.lit(1)), "least").limit(probes).select("vector").collect()
     visits = calibrate(tree, index, matrix([bytes(r["vector"]) for r in probe], dims), k, recall)
@@ -231,9 +237,8 @@ def nearest(
     chunked = index.join(sizes, "leaf").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).drop("chunks")
     asked = queries.select("name", "vector").mapInArrow(walk, "name string, vector binary, leaves array<long>").select("name", "vector", F.explode("leaves").alias("leaf"))
     asked = asked.join(sizes, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
-    hits = searched(asked, chunked, k + 1).select("name", F.explode("found").alias("hit")).select("name", "hit.score", F.col("hit.vector").alias("node"))
-    order = Window.partitionBy("name").orderBy(F.desc("score"), "least")
-    hits = hits.join(nodes.select("node", "least"), "node").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
+    merged = searched(asked, chunked, k + 1, dims).groupBy("name").agg(F.flatten(F.collect_list("found")).alias("found"))  # visits times k + 1 at most
+    hits = merged.select("name", F.explode(F.slice(F.array_sort("found"), 1, k + 1)).alias("hit")).select("name", (-F.col("hit.away")).alias("score"), "hit.node")
     answers = hits.join(nodes.select("node", "ids"), "node").select("name", "score", F.explode("ids").alias("vec_id"))
     by_score = Window.partitionBy("name").orderBy(F.desc("score"), "vec_id")
     listed = answers.withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= k + 1)
