@@ -39,9 +39,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # shuffle files of finished steps go when the driver notices that nothing refers to them
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def running_total(df: DataFrame, value: str, cell: str, order: list[Column], within: list[str] = (), out: str = "before") -> DataFrame:
@@ -168,7 +170,7 @@ _ODD = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words in a list (runs across documents too; the caller cuts)."""
     n = max(0, len(words) - size + 1)
-    total = np.full(n, np.uint64(size) * _ODD[4], np.uint64)
+    total = np.full(n, np.uint64(size * int(_ODD[4]) & MASK), np.uint64)
     for i in range(size):
         total = (total ^ words[i : i + n]) * _ODD[i % 4]
         total ^= total >> np.uint64(29)

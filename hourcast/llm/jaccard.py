@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourcast.llm.common import bytes_of, components, gram_hashes, saved, shingles, word_hashes
+from hourcast.llm.common import bytes_of, components, gram_hashes, mixed, saved, shingles, word_hashes
 
 FREQUENT = 64
 MOST_FREQUENT = 1 << 18
-NEAR = 8
+NEAR = 4
 BLOCK = 2048
-SIGN_WORDS = 16
-FILTER_BITS = 1 << 24
+SIGN_BITS, MOST_SIGN_BITS = 1 << 10, 1 << 16
+FILTER_BITS, TOKEN_FILTER = 24, 26
+ROWS_PER_RANGE, HELD, STRETCH = 4096, 1 << 20, 1 << 20
+SALT = 4
 
 
 def least_overlap(n, m, percent: int):
@@ -30,11 +32,16 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def sets_of(batch_text: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingles of every text of a batch."""
-    words, begins = word_hashes(*bytes_of(batch_text))
-    grams = gram_hashes(words, size)
-    for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
-        yield shingles(words, grams, a, b, size)
+    """Sorted distinct shingles of every text of a batch, a stretch of about a megabyte at a time."""
+    flat, offsets = bytes_of(batch_text)
+    first = 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STRETCH, "right")) - 1)
+        words, begins = word_hashes(flat[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        grams = gram_hashes(words, size)
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
+            yield shingles(words, grams, a, b, size)
+        first = last
 
 
 def name_of(elements: np.ndarray) -> bytes:
@@ -44,11 +51,30 @@ def name_of(elements: np.ndarray) -> bytes:
 
 
 def signature(elements: np.ndarray) -> bytes:
-    """Parity bits: two sets differ in at least as many elements as their signatures differ in bits."""
-    bits = np.bincount((elements >> np.uint64(20)).astype(np.int64) % (64 * SIGN_WORDS), minlength=64 * SIGN_WORDS) & 1
+    """Parity bits, at least twice as many as elements (up to a limit): two sets differ in at least as many elements as their signatures in bits."""
+    size = min(MOST_SIGN_BITS, max(SIGN_BITS, 1 << (2 * len(elements)).bit_length()))
+    bits = np.bincount((elements >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(signs: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (rows of 64-bit words) as they would be with fewer bits."""
+    return signs if signs.shape[1] == words else np.bitwise_xor.reduce(signs.reshape(len(signs), -1, words), axis=1)
+
+
+def apart(first: list[bytes], second: list[bytes]) -> np.ndarray:
+    """Bits in which pairs of signatures differ, in the shorter of the two sizes."""
+    out = np.zeros(len(first), np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(first, second)]).reshape(-1, 2)
+    for a, b in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes == (a, b)).all(axis=1))
+        x = np.frombuffer(b"".join([first[i] for i in at]), np.uint64).reshape(len(at), -1)
+        y = np.frombuffer(b"".join([second[i] for i in at]), np.uint64).reshape(len(at), -1)
+        words = min(a, b) // 8
+        out[at] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def ordered(elements: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """The prefix of a set: by hash, but frequent elements last."""
     need = prefix_size(len(elements), percent)
@@ -63,23 +89,77 @@ def text_only(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text").alias("text_hash"))
 
 
+def counted(parts: Iterator[np.ndarray], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Counts of hashes inside a task, as one packed row per range of hashes (by their lowest bits)."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, times = np.unique(np.concatenate(held), return_counts=True)
+        place = (tokens % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        tokens, times, place = tokens[order], times[order].astype(np.uint32), place[order]
+        names, begins = np.unique(place, return_index=True)
+        cuts = list(zip(begins.tolist(), [*begins[1:].tolist(), len(place)]))
+        columns = [pa.array(names), pa.array([tokens[x:y].tobytes() for x, y in cuts], pa.binary()), pa.array([times[x:y].tobytes() for x, y in cuts], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["range", "tokens", "times"])
+
+    held: list[np.ndarray] = []
+    for part in parts:
+        held.append(part)
+        if sum(map(len, held)) >= HELD:
+            yield packed(held)
+            held = []
+    if sum(map(len, held)):
+        yield packed(held)
+
+
+def seen_more(counts: DataFrame, than: int) -> DataFrame:
+    """token and times of the hashes that were seen more often ``than``, from packed counts."""
+
+    def total(group: pa.Table) -> pa.Table:
+        tokens = np.frombuffer(b"".join(group["tokens"].to_pylist()), np.uint64)
+        names, place = np.unique(tokens, return_inverse=True)
+        times = np.bincount(place, np.frombuffer(b"".join(group["times"].to_pylist()), np.uint32), len(names)).astype(np.int64)
+        often = times > than
+        return pa.table([pa.array(names[often].view(np.int64)), pa.array(times[often])], names=["token", "times"])
+
+    return counts.groupBy("range").applyInArrow(total, "token long, times long")
+
+
+COUNTS = "range long, tokens binary, times binary"
+
+
+def ranges_for(rows: int) -> int:
+    return 1 << max(4, (rows // ROWS_PER_RANGE).bit_length())
+
+
 def frequent_elements(docs: DataFrame, size: int, percent: int) -> np.ndarray:
     """Hashes that stand in many prefixes by plain hash order, sorted: at most MOST_FREQUENT, the most frequent ones.
 
     Any set of hashes gives a right order; this one keeps passages that many texts share out of the prefixes.
     """
+    ranges = ranges_for(docs.count())
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            firsts = [s[: prefix_size(len(s), percent) + len(s) // 20] for s in sets_of(batch.column(1), size)]
-            token, times = np.unique(np.concatenate([*firsts, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(times.astype(np.int64))], names=["token", "times"])
+        firsts = (np.concatenate([s[: prefix_size(len(s), percent) + len(s) // 20] for s in sets_of(b.column(1), size)]) for b in rows if b.num_rows)
+        return counted(firsts, ranges)
 
-    counts = text_only(docs).mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    often = counts.filter(F.col("times") > FREQUENT).orderBy(F.desc("times"), "token").limit(MOST_FREQUENT).select("token").collect()
+    often = seen_more(text_only(docs).mapInArrow(run, COUNTS), FREQUENT).orderBy(F.desc("times"), "token").limit(MOST_FREQUENT).select("token").collect()
     return np.sort(np.array([row["token"] for row in often], np.int64).view(np.uint64))
 
 
+def bit_filter(found: DataFrame, bit, bits: int) -> np.ndarray:
+    """A filter of 2 ** ``bits`` bits with those set that ``bit`` names: its size is fixed, whatever the number of rows."""
+    buckets = found.groupBy(F.floor(bit / 32768).alias("bucket")).agg(F.bitmap_construct_agg(bit % 32768).alias("bits"))
+    filled = np.zeros(((1 << bits) // 32768, 4096), np.uint8)
+    for row in buckets.collect():
+        filled[row["bucket"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return filled.reshape(-1)
+
+
+def token_bits(tokens: np.ndarray) -> np.ndarray:
+    return (mixed(tokens) >> np.uint64(64 - TOKEN_FILTER)).astype(np.int64)
+
+
 def profiles(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n (set size), sid (name of the set), signature and prefix of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -104,11 +184,37 @@ def profiles(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
 
 
 def shared_lists(sets: DataFrame) -> DataFrame:
-    """Index lists of at least two sets: token, uid, n, place (in the prefix), signature. One shuffle by token; most tokens have one set and go."""
-    entries = sets.select("uid", "n", F.posexplode("prefix").alias("place", "token"))
-    met = entries.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter("m > 1")
-    met = met.select("token", "uid", "n", F.col("place").cast("long"))
-    return met.join(sets.select("uid", "signature"), "uid").select("token", "uid", "n", "place", "signature")
+    """Index lists of at least two sets: token, uid, n, place (in the prefix).
+
+    Most elements stand in one prefix alone. Counting them first, packed, sets the bits of a filter for the others; only what passes is shuffled as
+    rows, and counted again exactly.
+    """
+    ranges = ranges_for(sets.count())
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return counted((b.column(0).flatten().to_numpy().view(np.uint64) for b in rows if b.num_rows), ranges)
+
+    def bits(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(token_bits(batch.column(0).to_numpy().view(np.uint64)))], names=["bit"])
+
+    several = seen_more(sets.select("prefix").mapInArrow(count, COUNTS), 1).select("token").mapInArrow(bits, "bit long")
+    shared = sets.sparkSession.sparkContext.broadcast(bit_filter(several, F.col("bit"), TOKEN_FILTER))
+
+    def entries(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = shared.value
+        for batch in rows:
+            tokens = batch.column(2).flatten().to_numpy()
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            bit = token_bits(tokens.view(np.uint64))
+            met = np.flatnonzero(filled[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            owner = np.repeat(np.arange(len(sizes)), sizes)[met]
+            place = met - (np.cumsum(sizes) - sizes)[owner]
+            uid, n = batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens[met], uid, n, place)], names=["token", "uid", "n", "place"])
+
+    found = sets.select("uid", "n", "prefix").mapInArrow(entries, "token long, uid long, n long, place long")
+    return found.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter("m > 1").drop("m")
 
 
 def _lists(rows: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -146,13 +252,14 @@ def near_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, uid, n, place, _ in _lists(rows):
+        for columns in _lists(rows):
+            _, uid, n, place = (c.tolist() for c in columns)
             found, leader = set(), 0
             for i in range(1, len(uid)):
                 if 100 * n[leader] < percent * n[i]:
                     leader = i
                 for j in {leader, *range(max(0, i - NEAR), i)} - {i}:
-                    if 100 * n[j] >= percent * n[i] and _may(n[i], n[j], place[i], place[j], percent):
+                    if 100 * n[j] >= percent * n[i] and min(place[i], place[j]) + 1 + min(n[i] - place[i], n[j] - place[j]) - 1 >= least_overlap(n[i], n[j], percent):
                         found.add((min(uid[i], uid[j]), max(uid[i], uid[j])))
             if found:
                 yield _pairs(sorted(found))
@@ -161,48 +268,85 @@ def near_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return sorted_lists.mapInArrow(run, "a long, b long").distinct()
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their signatures allow, with the number of bits that differ."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            bits = apart(batch.column(3).to_pylist(), batch.column(5).to_pylist())
+            fit = pa.array(bits <= n + m - 2 * least_overlap(n, m, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits)], names=["a", "b", "apart"]).filter(fit)
+
+    one = sets.select(F.col("uid").alias("a"), F.col("n").alias("n"), F.col("signature").alias("first"))
+    two = sets.select(F.col("uid").alias("b"), F.col("n").alias("m"), F.col("signature").alias("second"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "first", "m", "second").mapInArrow(run, "a long, b long, apart long")
+
+
+def closest(pairs: DataFrame) -> DataFrame:
+    """Of every set the pair with the fewest bits apart: enough to join most sets that belong together."""
+    both = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "apart")
+    return both.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+
+
+def across(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose sets are in different classes; a set without class is one of its own."""
+    one = classes.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    two = classes.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    joined = pairs.select("a", "b").join(one, "a", "left").join(two, "b", "left")
+    return joined.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def _may(n, m, i, j, percent: int):
     """Whether sets of sizes n and m that share elements at places i and j of their prefixes can overlap enough."""
     return np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= least_overlap(n, m, percent)
 
 
-def rest_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All other candidates: pairs of a list that no chain of links joins yet, and that size, place and signature allow.
+def rest_pairs(lists: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All other candidates: pairs of a longer list that no chain of links joins yet, and that size, place and signature allow.
 
-    Sets of one class are skipped: their answers follow from each other's. Lists are sorted by size and cut into blocks, and a pair of blocks is read
-    only if their sizes can link; each pair of blocks is a group of its own, so a long list is spread over many tasks.
+    Sets of one class are skipped: their answers follow from each other's. Lists are sorted by size and cut into blocks; each pair of blocks is a group
+    of its own, so a long list is spread over many tasks. Lists with the same main class meet (in SALT places), where a pair that many of them hold is
+    given out once.
     """
     known = classes.select(F.col("node").alias("uid"), "component")
     marked = lists.join(known, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    open_lists = marked.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-    open_lists = open_lists.filter((F.col("m") > NEAR + 1) & (F.col("low") != F.col("high"))).select("token", "m")
+    open_lists = marked.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main"))
+    open_lists = open_lists.filter((F.col("m") > NEAR + 1) & (F.col("low") != F.col("high"))).select("token", "m", "main")
     rank = F.row_number().over(Window.partitionBy("token").orderBy("n", "uid")) - 1
     placed = marked.join(open_lists, "token").withColumn("block", F.floor(rank / BLOCK).cast("long")).withColumn("blocks", F.floor((F.col("m") - 1) / BLOCK))
+    placed = placed.join(sets.select("uid", "signature"), "uid")
     partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))).alias("partner")
+    pair = [F.least("block", "partner"), F.greatest("block", "partner")]
+    home = F.xxhash64("main", F.pmod("token", F.lit(SALT)), *pair).alias("home")
     spread = placed.select("*", partner).select(
-        F.xxhash64("token", F.least("block", "partner"), F.greatest("block", "partner")).alias("group"), "uid", "n", "place", "signature", "component", "block"
+        F.xxhash64("token", *pair).alias("group"), "uid", "n", "place", "signature", "component", "block", home
     )
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, uid, n, place, sign, component, block in _lists(rows):
-            bits = np.frombuffer(b"".join(sign), np.uint64).reshape(len(uid), -1)
+        seen: set[tuple[int, int]] = set()
+        last = None
+        for _, uid, n, place, sign, component, block, home in _lists(rows):
+            if home[0] != last:
+                seen, last = set(), home[0]
             kinds = np.unique(component, return_inverse=True)[1]
             if kinds.max() == 0:
                 continue
-            found, two = set(), block[0] != block[-1]
+            found, two = set(), bool(block[0] != block[-1])
             main = np.bincount(kinds).argmax()
             for i in np.flatnonzero(kinds != main).tolist():
                 fit = (kinds != kinds[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & _may(n, n[i], place, place[i], percent)
                 if two:
                     fit &= block != block[i]
                 at = np.flatnonzero(fit)
-                apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                for j in at[apart <= n[at] + n[i] - 2 * least_overlap(n[at], n[i], percent)].tolist():
+                bits = apart([sign[i]] * len(at), [sign[j] for j in at])
+                for j in at[bits <= n[at] + n[i] - 2 * least_overlap(n[at], n[i], percent)].tolist():
                     found.add((min(uid[i], uid[j]), max(uid[i], uid[j])))
-            if found:
-                yield _pairs(sorted(found))
+            if found - seen:
+                yield _pairs(sorted(found - seen))
+                seen = found if len(seen) > HELD else seen | found  # bounded; what is forgotten is only given out again
 
-    return spread.repartition("group").sortWithinPartitions("group", "block", "uid").mapInArrow(run, "a long, b long").distinct()
+    return spread.repartition("home").sortWithinPartitions("home", "group", "block", "uid").mapInArrow(run, "a long, b long").distinct()
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -211,11 +355,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     A bit filter of fixed size over the names lets only their texts pass; where it is too full for that, more rows are joined, with the same result.
     """
     bit = F.conv(F.hex(F.substring("sid", 1, 3)), 16, 10).cast("long")
-    buckets = wanted.groupBy(F.floor(bit / 32768).alias("bucket")).agg(F.bitmap_construct_agg(bit % 32768).alias("bits"))
-    filled = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for row in buckets.collect():  # FILTER_BITS in all
-        filled[row["bucket"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(filled.reshape(-1))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, bit, FILTER_BITS))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = shared.value
@@ -263,9 +403,9 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     when 100 * intersection >= percent * union. Shingles are compared by 64-bit hashes, sets by 128-bit names.
 
     Rows with equal sets are one set from the start. Of every set the first elements of one global order are indexed (frequent ones last): linked sets
-    share one of them. Lists of the index give candidates, whole sets decide. A first round links each set to a few neighbours in every list; sets that
-    are then in one class need no comparison any more, whatever the length of the list, and the rest of the pairs is enumerated, so no link between
-    classes is lost.
+    share one of them. Lists of the index give candidates, signatures thin them out, whole sets decide. First every set is compared with the closest of
+    its neighbours in the lists; sets that are then in one class need no comparison any more, whatever the length of a list, and all other pairs are
+    enumerated, so no link between classes is lost.
 
     NULL, empty and blank texts have no shingles and link with nothing: their component is their own doc_id. Rows with one doc_id are rows of their
     own; a group of NULL ids alone has a NULL component.
@@ -277,19 +417,29 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     )
     sets = saved(each.withColumn("uid", F.monotonically_increasing_id()), "sets")
     lists = saved(shared_lists(sets), "lists")
-    wanted = lists.select("uid").distinct().join(sets.select("uid", "sid"), "uid")
-    elements = saved(whole_sets(docs, wanted, size), "elements")
-    links = saved(linked(near_pairs(lists, percent), elements, percent), "near")
-    classes = saved(components(links, "near"), "classes")
-    more = saved(linked(rest_pairs(lists, classes, percent), elements, percent), "rest")
-    if more.limit(1).count():
-        joined = more.join(classes.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left").join(
-            classes.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left"
-        )
-        between = joined.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-        upper = components(between, "rest").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    near = saved(plausible(near_pairs(lists, percent), sets, percent), "near")
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        uids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+        return saved(linked(pairs, whole_sets(docs, uids.join(sets.select("uid", "sid"), "uid"), size), percent), name)
+
+    def merged(classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        """Classes after the links among some more pairs."""
+        pairs = saved(pairs, f"{name}-pairs")
+        if not pairs.limit(1).count():
+            return classes
+        one = classes.select(F.col("node").alias("a"), F.col("component").alias("x"))
+        two = classes.select(F.col("node").alias("b"), F.col("component").alias("y"))
+        links = checked(pairs, name).join(one, "a", "left").join(two, "b", "left")
+        between = links.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+        upper = components(between, name).select(F.col("node").alias("component"), F.col("component").alias("top"))
         lower = classes.unionByName(between.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("component"))).distinct()
-        classes = lower.join(upper, "component", "left").select("node", F.coalesce("top", "component").alias("component")).distinct()
+        moved = lower.join(upper, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        return saved(moved.distinct(), f"{name}-classes")
+
+    classes = saved(components(checked(closest(near), "closest"), "closest"), "classes")
+    classes = merged(classes, across(near, classes).distinct(), "across")
+    classes = merged(classes, rest_pairs(lists, sets, classes, percent), "rest")
     grouped = sets.select("uid", "sid", "least").join(classes.withColumnRenamed("node", "uid"), "uid", "left")
     grouped = grouped.withColumn("component", F.coalesce("component", "uid"))
     lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
