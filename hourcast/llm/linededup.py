@@ -140,13 +140,19 @@ def dedup_lines(docs: DataFrame, guarantee: int = 8) -> DataFrame:
 
     Columns of the input named like the two new ones are replaced. NULL text stays NULL with 0 lines; a text without words, or with fewer than ``guarantee`` words, stays. Where all lines go, the text is empty.
     """
-    plan = repeated_lines(docs, guarantee)
-    one = Window.partitionBy(F.col("doc_id").cast("long"), "__hash").orderBy("__hash")
-    marked = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__copy", F.row_number().over(one))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("copy").alias("__number"), F.col("deleted").alias("__deleted"))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")) & (F.col("__copy") == F.col("__number"))
+    key = ["__id", "__none", "__hash"]
+
+    def keyed(df: DataFrame, text) -> DataFrame:
+        return df.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull(), "__hash": text})
+
+    # Of equal rows, all but the first lose the same lines. One key for join and numbering: the texts are shuffled once.
+    plan = keyed(repeated_lines(docs, guarantee), F.col("text_hash")).groupBy(*key).agg(
+        F.max(F.when(F.col("copy") == 1, F.col("deleted"))).alias("__first"), F.max(F.when(F.col("copy") > 1, F.col("deleted"))).alias("__later")
+    )
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("__hash"))
+    marked = keyed(docs, F.xxhash64("text")).join(plan, key, "left").withColumn("__deleted", F.when(number == 1, F.col("__first")).otherwise(F.col("__later")))
     lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__deleted", i)), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     columns = [F.when(F.col("__deleted").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    return marked.join(plan, match, "left").select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("__deleted"), F.lit(0)).alias("n_deleted"))
+    return marked.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("__deleted"), F.lit(0)).alias("n_deleted"))
