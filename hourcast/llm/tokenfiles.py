@@ -3,7 +3,7 @@
 A file set is a folder with two Parquet tables.
 
 * ``ranks``: (rank, id, times); rank 0 is the most frequent id, equal counts go to the smaller id.
-* ``blocks``: one row per block of whole documents, in ascending order of (doc_id, ids) over blocks and inside them:
+* ``blocks``: one row per block of whole documents, in ascending order of doc_id over blocks and inside them:
   block, n_docs, n_ids, doc_ids (array), lengths (array), control (binary), data (binary).
 
 A rank takes 1 to 4 little-endian bytes in ``data``; two bits of ``control`` say how many, four ranks to a control byte, the first in the lowest bits.
@@ -86,7 +86,8 @@ def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> None:
     """Encode every whole text of ``docs`` (doc_id, text) and write the file set.
 
-    NULL text is empty and has the end id alone; NULL doc_id comes first; rows with one doc_id stand next to each other in the order of their ids.
+    NULL text is empty and has the end id alone; NULL doc_id comes first; rows with one doc_id stand next to each other, in the order of a
+    hash of their ids.
     """
     spark = docs.sparkSession
     kind = id_kind(path)
@@ -126,8 +127,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 2)
             yield made(names, sizes, parts)
 
     parts = max(1, -(-total // PARTITION_IDS))
-    ranged = tokens.repartitionByRange(parts, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-    ranged.mapInArrow(run, BLOCKS).write.parquet(f"{folder}/blocks")
+    # The hash splits rows that share a doc_id, and keeps the ids themselves out of the sample that finds the ranges.
+    ranged = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").drop("tie")
+    ranged.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
