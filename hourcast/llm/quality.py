@@ -67,7 +67,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = 0) -> DataFrame:
         for batch in rows:
             found, owner = features(batch.column(1), len(ratios))
             size = np.bincount(owner, minlength=batch.num_rows)
-            weight = np.bincount(owner, ratios[found], minlength=batch.num_rows)
+            weight = np.bincount(owner, ratios[found], minlength=batch.num_rows).astype(float)  # of nothing, bincount gives integers
             score = 1 / (1 + np.exp(-weight / np.maximum(size, 1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (size, weight, score))], names=["doc_id", "n_features", "log_weight", "score"])
 

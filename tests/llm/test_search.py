@@ -95,7 +95,8 @@ def test_curriculum_follows_the_schedule(spark):
     """A source whose weight rises has fewer documents in the first half than in the second."""
     docs = settle(spark).createDataFrame([(i, "w " * 10, s) for i, s in enumerate(["a", "b", "c"] * 400)], "doc_id long, text string, source string")
     rows = mixing.mix_sources(docs).collect()
-    early = {s: np.mean([r["position"] < 0.5 for r in rows if r["position"] is not None and "abc"[r["doc_id"] % 3] == s]) for s in "ac"}
+    places = {s: [p for r in rows if "abc"[r["doc_id"] % 3] == s for p in (r["position"], r["position_again"]) if p is not None] for s in "ac"}
+    early = {s: np.mean([p < 0.5 for p in places[s]]) for s in "ac"}
     assert early["a"] < 0.5 < early["c"]
     ordered = mixing.mixed_documents(docs)
     assert ordered.columns == docs.columns
