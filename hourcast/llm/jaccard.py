@@ -408,8 +408,13 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     enumerated, so no link between classes is lost.
 
     NULL, empty and blank texts have no shingles and link with nothing: their component is their own doc_id. Rows with one doc_id are rows of their
-    own; a group of NULL ids alone has a NULL component.
+    own; a group of NULL ids alone has a NULL component. So a component_id names a smallest id, and groups may share it: see ``numbered_groups``.
     """
+    return numbered_groups(docs, size, percent).drop("group")
+
+
+def numbered_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """``jaccard_groups`` with the number of the group in ``group``: different groups have different numbers, whatever their ids; NULL without words."""
     frequent = frequent_elements(docs, size, percent)
     table = saved(profiles(docs, frequent, size, percent), "profiles")
     each = table.filter("n > 0").groupBy("sid").agg(
@@ -443,16 +448,19 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     grouped = sets.select("uid", "sid", "least").join(classes.withColumnRenamed("node", "uid"), "uid", "left")
     grouped = grouped.withColumn("component", F.coalesce("component", "uid"))
     lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = grouped.join(lowest, "component").select("sid", "component_id")
+    answer = grouped.join(lowest, "component").select("sid", F.col("component").alias("group"), "component_id")
     rows = table.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "sid").join(answer, "sid", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"), "text_hash")
+    component = F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id")
+    return rows.select("doc_id", "n_shingles", component, "text_hash", "group")
 
 
 def one_of_each_group(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """The documents without near copies: of each group of ``jaccard_groups`` the row with the smallest doc_id stays (of several, the one with the
-    smallest hash of the text; of equal rows, one). Texts without words stay. Columns are those of the input."""
-    groups = jaccard_groups(docs, size, percent)
-    chosen = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    """The documents without near copies: of each group of ``jaccard_groups`` the row with the smallest doc_id stays (NULL last; of several, the one
+    with the smallest hash of the text; of equal rows, one). Groups of one name, by NULL or repeated ids, keep a row each. Texts without words stay.
+    Columns are those of the input."""
+    groups = saved(numbered_groups(docs, size, percent), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    chosen = groups.filter("n_shingles > 0").groupBy("group").agg(F.min(order).alias("first"))
     chosen = chosen.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__text")).withColumn("__copy", F.lit(1))
     blank = groups.filter("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct().withColumn("__copy", F.lit(None).cast("int"))
     number = F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long"), "__hash").orderBy("__hash"))

@@ -85,6 +85,28 @@ def test_one_of_each_group(spark):
     assert len([r for r in kept if not brute.shingle_set(r["text"])]) == len([1 for _, n, _ in groups if not n])
 
 
+def test_groups_of_one_name_keep_a_row_each(spark):
+    """NULL ids, and one id with two texts: counted are groups of linked texts, not their names."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(12)]
+    near = [t + " tail" for t in texts]
+    data = [(None, t, "en", "a") for t in texts[:6]]
+    data += [(None, texts[0], "en", "a"), (None, near[1], "en", "b"), (7, near[2], "en", "b"), (None, None, "en", "a"), (None, "", "en", "a")]
+    data += [(9, t, "en", "a") for t in texts[6:9]] + [(10, near[6], "en", "b"), (11, texts[9], "en", "c"), (11, texts[9], "en", "c"), (9, near[7], "en", "c")]
+    sets = [brute.shingle_set(t) for _, t, *_ in data]
+    links = [(i, j) for i in range(len(data)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    where = brute.groups(range(len(data)), links)
+    members = {g: [i for i in where if where[i] == g] for g in set(where.values()) if sets[g]}
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each_group(cases.frame(settle(spark), data)).collect()]
+    worded = [row for row in kept if brute.shingle_set(row[1])]
+    assert len(members) == 10 and len(worded) == 10
+    for rows in members.values():
+        ids = [data[i][0] for i in rows if data[i][0] is not None]
+        assert sum(row in worded for row in {data[i][:2] for i in rows}) == 1
+        assert [row[0] for row in worded if row in [data[i][:2] for i in rows]] == [min(ids, default=None)]
+    assert len(kept) - len(worded) == 2
+
+
 def test_no_documents(spark):
     empty = cases.frame(settle(spark), [])
     assert jaccard.jaccard_groups(empty).count() == 0
