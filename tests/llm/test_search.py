@@ -104,6 +104,23 @@ def test_curriculum_follows_the_schedule(spark):
     assert set(times) <= {1, 2} and abs(sum(times) - 1.5 * 1200) <= 3
 
 
+def test_mixed_documents_count_rows_not_ids(spark):
+    """NULL and repeated ids over three sources: each row comes as often as its own words are taken, and targets are met."""
+    data = [(None if i % 2 else i % 10, " ".join(["w"] * (20 + i)), s) for i, s in enumerate(["a"] * 60 + ["b"] * 300 + ["c"] * 60)]
+    docs = settle(spark).createDataFrame(data, "doc_id long, text string, source string")
+    sizes = {s: sum(len(t.split()) for _, t, x in data if x == s) for s in "abc"}
+    expected = water(sizes)
+    times = {r["size"]: int(r["taken"] / r["size"] + 0.5) for r in mixing.mix_sources(docs).collect()}  # sizes are different
+    mixed = mixing.mixed_documents(docs).collect()
+    found = dict.fromkeys(times, 0)
+    for r in mixed:
+        found[len(r["text"].split())] += 1
+    assert found == times
+    longest = max(len(t.split()) for _, t, _ in data)
+    for s in "abc":
+        assert abs(sum(len(r["text"].split()) for r in mixed if r["source"] == s) - expected[s]) <= longest
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix_sources(cases.frame(settle(spark), [])).count() == 0
     blank = mixing.mix_sources(cases.frame(spark, [(1, None, "en", None), (2, " ", "en", "a")])).collect()
