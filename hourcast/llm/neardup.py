@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,29 +18,104 @@ BITS = 32
 ROWS_PER_TASK = 20_000
 BLOCK = 2048
 MARGIN = 1e-9
+SALT = 32
+PROBES, MORE_PROBES, LINKED_PROBES = 1024, 4096, 64
+MOST_ROUNDS = 16
 
+log = logging.getLogger(__name__)
 
-def planes(dims: int, passes: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dims]).standard_normal((dims, passes * BITS))
 
+def planes(dims: int, passes: int, seed: int, turn: int = 0) -> np.ndarray:
+    return np.random.default_rng([seed, dims, turn] if turn else [seed, dims]).standard_normal((dims, passes * BITS))
 
-def sort_keys(nodes: DataFrame, passes: int, seed: int) -> DataFrame:
-    """A row per vector and pass: the signs of BITS random projections, the first one highest."""
+
+def centres(nodes: DataFrame) -> DataFrame:
+    """label, dims and centre (packed) of the labels with at least SALT vectors: the mean of their unit vectors, summed in the tasks first."""
+
+    def sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            label, dims, vector = (c.to_pylist() for c in batch.columns)
+            groups: dict[tuple, list] = {}
+            for name, d, v in zip(label, dims, vector):
+                groups.setdefault((name, d), []).append(v)
+            totals = [unit(matrix(v, d)).sum(axis=0).tobytes() for (_, d), v in groups.items()]
+            columns = [[x for x, _ in groups], [d for _, d in groups], [len(v) for v in groups.values()], totals]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["label", "dims", "n", "total"])
+
+    def mean(group: pa.Table) -> pa.Table:
+        n = sum(group["n"].to_pylist())
+        total = sum(np.frombuffer(x) for x in group["total"].to_pylist())
+        centre = np.round(total / n, 6).tobytes()  # sums in another order give the same
+        return pa.table({"label": group["label"][:1], "dims": group["dims"][:1], "n": pa.array([n], pa.int64()), "centre": pa.array([centre], pa.binary())})
+
+    parts = nodes.select("label", "dims", "vector").mapInArrow(sums, "label string, dims int, n long, total binary")
+    found = parts.groupBy("label", "dims").applyInArrow(mean, "label string, dims int, n long, centre binary")
+    return found.filter(F.col("n") >= SALT).drop("n")
+
+
+def with_centres(nodes: DataFrame, middle: DataFrame) -> DataFrame:
+    """Nodes with the centre of their label, NULL in a small one; each centre is joined in SALT places, so no label is one task's work."""
+    places = middle.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return nodes.select("node", "label", "dims", "vector", F.pmod("node", F.lit(SALT)).cast("long").alias("salt")).join(places, ["label", "dims", "salt"], "left")
+
+
+def sort_keys(nodes: DataFrame, passes: int, seed: int, turn: int = 0) -> DataFrame:
+    """A row per vector and pass: the signs of BITS random projections, seen from the centre of the label, the first one highest.
+
+    Vectors of one direction have most signs in common; from their centre the signs tell them apart.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in rows:
-            node, label, dims, vector = (c.to_pylist() for c in batch.columns)
+            node, label, dims, vector, centre = (c.to_pylist() for c in batch.columns)
             for size in sorted(set(dims)):
                 at = [i for i, d in enumerate(dims) if d == size]
-                signs = unit(matrix([vector[i] for i in at], size)) @ planes(size, passes, seed) > 0
+                middle = np.frombuffer(b"".join(centre[i] or bytes(8 * size) for i in at)).reshape(len(at), size)
+                signs = (unit(matrix([vector[i] for i in at], size)) - middle) @ planes(size, passes, seed, turn) > 0
                 keys = signs.reshape(len(at), passes, BITS) @ weights
                 for p in range(passes):
                     columns = [[p] * len(at), [label[i] for i in at], [size] * len(at), keys[:, p], [node[i] for i in at], [vector[i] for i in at]]
                     kinds = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["pass", "label", "dims", "key", "node", "vector"])
 
-    return nodes.select("node", "label", "dims", "vector").mapInArrow(run, "pass int, label string, dims int, key long, node long, vector binary")
+    return nodes.select("node", "label", "dims", "vector", "centre").mapInArrow(run, "pass int, label string, dims int, key long, node long, vector binary")
+
+
+def link_recall(nodes: DataFrame, classes: DataFrame, threshold: float, probes: int = PROBES) -> tuple[int, float | None]:
+    """Of ``probes`` vectors of the largest label, compared with all its vectors in blocks: how many have links, and the mean share of a vector's
+    links that are inside its group (None if no probe has links). If few have links, MORE_PROBES are asked."""
+    largest = nodes.groupBy("label", "dims").count().orderBy(F.desc("count"), "label", "dims").first()
+    if largest is None:
+        return 0, None
+    label, dims = largest["label"], largest["dims"]
+    own = nodes.filter((F.col("label") == F.lit(label)) & (F.col("dims") == F.lit(dims))).join(classes, "node", "left")
+    own = own.select("node", "vector", F.coalesce("component", "node").alias("component"))
+    asked = own.orderBy(F.xxhash64("node"), "node").limit(probes).collect()
+    names, groups = (np.array([r[c] for r in asked], np.int64) for c in ("node", "component"))
+    shared = nodes.sparkSession.sparkContext.broadcast((names, groups, unit(matrix([bytes(r["vector"]) for r in asked], dims))))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, groups, queries = shared.value
+        real, found = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            node, group = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            vectors = unit(matrix(batch.column(1).to_pylist(), dims))
+            for k in range(0, len(names), PROBES):
+                part = slice(k, k + PROBES)
+                near = (queries[part] @ vectors.T >= threshold) & (names[part, None] != node[None, :])
+                real[part] += near.sum(axis=1)
+                found[part] += (near & (groups[part, None] == group[None, :])).sum(axis=1)
+        at = np.flatnonzero(real)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, real[at], found[at])], names=["probe", "real", "found"])
+
+    shares = own.mapInArrow(run, "probe long, real long, found long").groupBy("probe").agg((F.sum("found") / F.sum("real")).alias("share"))
+    linked, reached = shares.agg(F.count("*"), F.avg("share")).first()
+    if linked < LINKED_PROBES and probes < MORE_PROBES and probes <= len(asked):
+        return link_recall(nodes, classes, threshold, MORE_PROBES)
+    return linked, reached
 
 
 def neighbour_links(keyed: DataFrame, parts: int, threshold: float, window: int) -> DataFrame:
@@ -128,15 +204,16 @@ def counted_links(members: DataFrame, threshold: float) -> DataFrame:
     return certain.unionByName(found.groupBy("node").agg((F.sum("n") - 1).alias("n_links")))
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.93, passes: int = 16, window: int = 16, seed: int = 7) -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = 0.93, passes: int = 16, window: int = 16, seed: int = 7, recall: float = 0.99) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``table`` (vec_id, embedding, label).
 
     Only vectors with equal labels are compared, by cosine in double precision. Equal vectors of a label are one node from the start. In every pass
     the nodes are sorted by label and by BITS random signs, and each is compared with the ``window`` nodes behind it (windows end with a range
     partition); verified pairs of all passes are joined to groups. Inside a group all links are then counted, so a window bounds no vector's links.
 
-    A pair that never comes close in any pass, and no chain of other links joins, is not found: at the threshold, one pass finds it with a probability
-    of 0.88 to the power of the bits that tell a window's rows apart, 16 passes together nearly always.
+    A pair that never comes close in any pass, and no chain of other links joins, is not found; the larger a label, the more bits tell a window's rows
+    apart, and the fewer pairs a pass finds. So the share found is measured on probes of the largest label (``link_recall``), and rounds of ``passes``
+    more are added until it is ``recall``, at most MOST_ROUNDS; the share reached is logged, as a warning if it is less.
 
     NULL labels, and vectors that are NULL, zero, or hold NULL or non-finite components, link with nothing; vectors of different length do not link.
     Rows that share a vec_id are vectors of their own. Components are named by their smallest vec_id.
@@ -150,8 +227,17 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, passes: int = 16,
     )
     nodes = saved(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
     parts = max(1, -(-nodes.count() * passes // ROWS_PER_TASK))
-    links = saved(neighbour_links(sort_keys(nodes, passes, seed), parts, threshold, window), "links")
-    classes = saved(components(links, "vectors"), "classes")
+    middle = saved(centres(nodes), "centres")
+    classes = nodes.sparkSession.createDataFrame([], "node long, component long")
+    for turn in range(MOST_ROUNDS):
+        links = saved(neighbour_links(sort_keys(with_centres(nodes, middle), passes, seed, turn), parts, threshold, window), "links")
+        known = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        classes = saved(components(links.unionByName(known), "vectors"), "classes")
+        linked, reached = link_recall(nodes, classes, threshold)
+        if reached is None or reached >= recall:
+            break
+    short = reached is not None and reached < recall
+    log.log(logging.WARNING if short else logging.INFO, "%d passes; recall %s on %d linked probes of the largest label", passes * (turn + 1), reached, linked)
     members = nodes.join(classes, "node").select("component", "node", "copies", "dims", "vector")
     counts = counted_links(members, threshold)
     whole = nodes.select("node", "name", "copies", "least").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))

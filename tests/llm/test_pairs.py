@@ -172,3 +172,22 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     least = {g: min(data[i][0] for i in range(len(data)) if where[i] == g) for g in set(where.values())}
     expected = [(d[0], int(degree[i]), least[where[i]], least[where[i]] == d[0]) for i, d in enumerate(data)]
     assert sorted(map(tuple, found)) == sorted(expected)
+
+
+def test_near_duplicates_of_a_label_in_one_direction(spark, caplog):
+    """Vectors with a mean cosine of 0.7, a fifth of them near copies, and few passes: the label is centred, and passes are added until pairs are found."""
+    rng = np.random.default_rng(8)
+    common = rng.standard_normal(32)
+    rows = common * 1.53 + rng.standard_normal((2500, 32))
+    copies = rows[:500] + rng.standard_normal((500, 32)) * 0.55
+    data = np.concatenate([rows, copies])
+    units = data / np.linalg.norm(data, axis=1, keepdims=True)
+    near = units @ units.T
+    real = (near >= 0.93).sum(axis=1) - 1
+    assert 0.65 < near.mean() < 0.75 and (real > 0).sum() > 500
+    frame = settle(spark).createDataFrame([(i, v, 1) for i, v in enumerate(data.tolist())], "vec_id long, embedding array<double>, label int")
+    with caplog.at_level("INFO", neardup.__name__):
+        found = {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(frame, passes=2, window=4).collect()}
+    assert all(found[i] <= n for i, n in enumerate(real))
+    assert np.mean([found[i] / n for i, n in enumerate(real) if n]) >= 0.97
+    assert "recall" in caplog.text
