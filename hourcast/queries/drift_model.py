@@ -220,14 +220,10 @@ def _fitted(spark, sf_dir, cfg):
     return fit.model, parts["test"]
 
 
-# Trees and depth of the registered fits; jobs take theirs from RegressorConfig.
-QUERY_MODEL = RegressorConfig(trees=20, depth=5)
-
-
 @query("train_score")
 def train_score(spark, sf_dir):
     """Fit on the years before 2000 and score the rest, in the layout of the prediction table."""
-    model, test = _fitted(spark, sf_dir, QUERY_MODEL)
+    model, test = _fitted(spark, sf_dir, RegressorConfig())
     return score_to_predictions(model.transform(test.drop("series")), "ts", "models:/daily/1", "consumption_id", "series")
 
 
@@ -238,7 +234,7 @@ def train_score(spark, sf_dir):
 )
 def train_score_facts(spark, sf_dir):
     """What holds of any sound fit: as many finite predictions as rows, none far from the labels it was fitted on."""
-    model, test = _fitted(spark, sf_dir, QUERY_MODEL)
+    model, test = _fitted(spark, sf_dir, RegressorConfig())
     scored = model.transform(test)
     seen = daily(spark, sf_dir).filter(F.col("ts") < F.lit(SPLIT_DATE).cast("timestamp_ntz")).agg(F.min("v").alias("low"), F.max("v").alias("high"))
     near = F.col("prediction").between(F.col("low") * 2 - F.col("high"), F.col("high") * 2 - F.col("low"))
@@ -254,7 +250,7 @@ def train_score_facts(spark, sf_dir):
 )
 def score_with_gaps(spark, sf_dir):
     """A series shorter than its longest lag is scored row by row like the others, though its lags are unknown."""
-    model, test = _fitted(spark, sf_dir, RegressorConfig(trees=3, depth=3))
+    model, test = _fitted(spark, sf_dir, RegressorConfig())
     days = daily(spark, sf_dir)
     first = F.row_number().over(Window.partitionBy("series").orderBy("ts"))
     short = days.filter(F.col("series") == "5-LOW").withColumn("_i", first).filter("_i <= 10").drop("_i")

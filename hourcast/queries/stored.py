@@ -53,7 +53,7 @@ def scored_labels(spark, sf_dir):
     features = daily_features(spark, sf_dir).withColumnsRenamed(FLAGS)
     columns = [*FLAGS.values(), *DAILY.lags]
     train = time_split(features, "ts", {"train": ("1995-01-01", SPLIT_DATE)})["train"]
-    fit = timed_fit(make_pipeline(columns, "v", RegressorConfig(trees=3, depth=3)), train.select("v", *columns))
+    fit = timed_fit(make_pipeline(columns, "v", RegressorConfig()), train.select("v", *columns))
     labels = labels_of(daily(spark, sf_dir).filter(F.col("ts") >= F.lit(SPLIT_DATE).cast("timestamp_ntz")), "series", "ts", "v", "consumption_id")
     out = score(fit.model, labels, features.drop("series", "ts", "v"), ["consumption_id"])
     return out.select("consumption_id", "ts", "v", F.col("prediction").isNotNull().alias("scored"))

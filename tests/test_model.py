@@ -33,6 +33,10 @@ from hourcast.operators.drift import chi2_drift
 from hourcast.operators.windows import continuity, lags
 from hourcast.plans import jobs
 from hourcast.plans.features import FeatureConfig, build_features, build_future_features
+from hourcast.queries import drift_model, stored
+from hourcast.queries.features import daily_features
+from hourcast.queries.frames import SPLIT_DATE
+from hourcast.queries.scalars import FLAGS
 from hourcast.session import ensure_checkpoint_dir
 from hourcast.sources.tables import FILES_PER_MONTH, load, merge_into
 
@@ -231,6 +235,36 @@ def test_training(spark, tmp_path):
         save_pipeline(fit.model, str(tmp_path / "pipeline"))
 
 
+SF = "/root/testdata/sf0.001"
+FITS = {"train_score": drift_model.train_score, "train_score_facts": drift_model.train_score_facts}
+FITS |= {"score_with_gaps": drift_model.score_with_gaps, "score_by_id": stored.scored_labels}
+
+
+@pytest.mark.parametrize("name", FITS)
+def test_registered_fits_are_whole(spark, monkeypatch, name):
+    """Every registered fit asks for the settings that jobs take."""
+
+    class Asked(Exception):
+        pass
+
+    def ask(columns, label, cfg):
+        raise Asked(cfg)
+
+    for module in (drift_model, stored):
+        monkeypatch.setattr(module, "make_pipeline", ask)
+    with pytest.raises(Asked) as asked:
+        FITS[name](spark, SF)
+    assert asked.value.args == (RegressorConfig(),)
+
+
+def test_registered_fit_beats_a_constant(spark):
+    """On the rows it was fitted on, the error is below that of the best constant."""
+    model, _ = drift_model._fitted(spark, SF, RegressorConfig())
+    rows = daily_features(spark, SF).withColumnsRenamed(FLAGS).filter(F.col("ts") < F.lit(SPLIT_DATE).cast("timestamp_ntz"))
+    found = model.transform(rows).agg(F.avg((F.col("prediction") - F.col("v")) ** 2).alias("error"), F.var_pop("v").alias("constant")).first()
+    assert found["error"] < found["constant"]
+
+
 def test_early_stopping(spark):
     df = training_rows(spark).withColumn("held_out", F.hour("ts") >= 18)
     assert make_regressor("y", TINY, "held_out").getValidationIndicatorCol() == "held_out"
