@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourcast.llm import ann, jaccard, langid, licenses, linededup, mixing, neardup, packing, quality, tokenfiles
+from hourcast.llm import ann, divergence, jaccard, langid, licenses, linededup, mixing, neardup, packing, passages, quality, tokenfiles, whitening
 from hourcast.llm.common import scratch, settle, tables_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,22 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest embeddings of every embedding whose id is divisible by 20."""
     return ann.nearest(tables_of(spark, sf_dir, "embeddings"))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened on their 32 leading components."""
+    return whitening.whiten(tables_of(spark, sf_dir, "embeddings"))
+
+
+@query("op12_source_divergence", divergence.SQL)
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every source of all documents differs from the others of its language, and in which terms from the language."""
+    return divergence.audit_sources(tables_of(spark, sf_dir, "documents"))
+
+
+@query("op13_substring_dedup", passages.SQL)
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from all documents because a document with a smaller id holds the same 50, and what is left."""
+    out = passages.dedup_passages(tables_of(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
