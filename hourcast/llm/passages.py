@@ -17,7 +17,7 @@ from hourcast.llm.jaccard import bit_filter
 
 WINDOW, MER = 50, 16
 LONGEST = 256
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 SHARED_BITS, HOT_BITS = 26, 24
 HOT = 4096
 SPACES = classes(" \t\n\x0b\x0c\r", False)[1]
@@ -51,7 +51,7 @@ class Words:
 
 
 def stretches(column: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
-    """Texts of a batch, about a megabyte at a time, with the place of the first."""
+    """Texts of a batch, about a quarter of a megabyte at a time, with the place of the first."""
     first, held, size = 0, [], 0
     for i, text in enumerate(column):
         held.append(text.as_py())
