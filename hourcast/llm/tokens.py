@@ -29,7 +29,8 @@ _FOLD[65:91] += 32
 _BEYOND = np.zeros(256, bool)  # bytes of rare white space, and of letters beyond Latin-1
 _BEYOND[[11, 12, 28, 29, 30, 31, 0xC2]] = True
 _BEYOND[0xC4:] = True
-KEPT_PIECES = 600_000
+KEPT_PIECES = 200_000
+STRETCH = 1 << 19
 
 
 class Encoder:
@@ -37,7 +38,7 @@ class Encoder:
 
     A piece ends where one of four white-space bytes follows another byte, where an ASCII sign follows a letter, and where a letter follows a sign
     other than an apostrophe: no token of the vocabularies in use reaches over such a place, so the ids of a text are the ids of its pieces. Pieces
-    are told apart by 64-bit hashes. The memory for known pieces is bounded; others are encoded again.
+    are told apart by 64-bit hashes. The memory for known pieces is bounded: when not all new ones fit, those that occur once are encoded again.
     """
 
     def __init__(self, path: str, kept: int = KEPT_PIECES):
@@ -138,9 +139,10 @@ class Encoder:
             ids, sizes = self.fresh(flat, starts[first[new]], ends[first[new]])
             at[new], size[new] = len(store) + np.cumsum(sizes) - sizes, sizes
             store = np.concatenate([store, ids])
-            often = new & (times > 1)
-            if often.any() and len(self.names) + int(often.sum()) <= self.kept:
-                self._keep(names[often], at[often], size[often], store)
+            room = self.kept - len(self.names)
+            fit = new if int(new.sum()) <= room else new & (times > 1)
+            if fit.any() and int(fit.sum()) <= room:
+                self._keep(names[fit], at[fit], size[fit], store)
         size, at = size[which], at[which]
         before = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=before[1:])
@@ -154,11 +156,10 @@ class Encoder:
     def _keep(self, names: np.ndarray, at: np.ndarray, size: np.ndarray, store: np.ndarray) -> None:
         before = np.cumsum(size) - size
         ids = store[np.repeat(at - before, size) + np.arange(int(size.sum()))]
-        joined = np.concatenate([self.names, names])
-        order = np.argsort(joined, kind="stable")
-        self.names = joined[order]
-        self.at = np.concatenate([self.at, before + len(self.ids)])[order]
-        self.size = np.concatenate([self.size, size])[order]
+        place = np.searchsorted(self.names, names)  # both are sorted
+        self.names = np.insert(self.names, place, names)
+        self.at = np.insert(self.at, place, before + len(self.ids))
+        self.size = np.insert(self.size, place, size)
         self.ids = np.concatenate([self.ids, ids])
 
 
@@ -198,9 +199,18 @@ def crc(ids: np.ndarray) -> int:
 
 
 def token_batches(rows: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Batches (doc_id, text as binary) with the ids of their texts, end id included; NULL text is empty and has the end id alone."""
+    """Batches (doc_id, text as binary) with the ids of their texts, end id included; NULL text is empty and has the end id alone.
+
+    Texts are encoded half a megabyte at a time: the arrays of a stretch are several times its size."""
     for batch in rows:
-        yield batch, [np.append(ids, np.uint32(end_id)) for ids in encoder(path).encode(*bytes_of(batch.column(1)))]
+        flat, offsets = bytes_of(batch.column(1))
+        found: list[np.ndarray] = []
+        while len(found) < batch.num_rows:
+            first = len(found)
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STRETCH, "right")) - 1)
+            ids = encoder(path).encode(flat[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            found += [np.append(x, np.uint32(end_id)) for x in ids]
+        yield batch, found
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
