@@ -12,12 +12,12 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler, VectorIndexer
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hourcast.functions.keys import id_to_series, row_id
+from hourcast.operators.boosting import HistogramTrees
 from hourcast.operators.chunks import attach
 from hourcast.operators.clean import between_ts
 from hourcast.operators.lookup import lookup_equal
@@ -74,6 +74,7 @@ def training_set(
 class RegressorConfig:
     """Boosted-tree settings."""
 
+    # Settings of the trained model, and rounds without gain before early stopping.
     trees: int = 300
     depth: int = 8
     rate: float = 0.1
@@ -81,6 +82,7 @@ class RegressorConfig:
     column_share: float = 0.8
     seed: int = 42
     max_categories: int = 3
+    patience: int = 10
 
 
 class _KnownParams(Params):
@@ -141,12 +143,12 @@ def index_categories(max_categories: int, column: str = ASSEMBLED, out: str = "f
 
 def make_regressor(
     label: str, cfg: RegressorConfig = RegressorConfig(), validation: str | None = None
-) -> GBTRegressor:
+) -> HistogramTrees:
     """Distributed boosted trees; ``validation`` names a boolean column for early stopping."""
-    regressor = GBTRegressor(
+    regressor = HistogramTrees(
         featuresCol="features", labelCol=label, predictionCol="prediction",
         maxIter=cfg.trees, maxDepth=cfg.depth, stepSize=cfg.rate, subsamplingRate=cfg.row_share,
-        featureSubsetStrategy=str(cfg.column_share), seed=cfg.seed,
+        columnShare=cfg.column_share, seed=cfg.seed, patience=cfg.patience,
     )
     return regressor.setValidationIndicatorCol(validation) if validation else regressor
 

@@ -211,35 +211,38 @@ def sample(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir, cfg):
-    """A model of the years before 2000, the rows of the later years, and the full list of features."""
+    """A model of the years before 2000, the rows of the later years, and those it was fitted on."""
     rows = daily_features(spark, sf_dir).withColumnsRenamed(FLAGS)
     bounds = {"train": ("1995-01-01", SPLIT_DATE), "test": (SPLIT_DATE, "2100-01-01")}
     parts = time_split(rows, "ts", bounds)
     columns = [*FLAGS.values(), *CALENDAR, *DAILY.lags, *DAILY.moving]
     fit = timed_fit(make_pipeline(columns, "v", cfg), parts["train"].select("v", *columns))
-    return fit.model, parts["test"]
+    return fit.model, parts["test"], parts["train"]
 
 
 @query("train_score")
 def train_score(spark, sf_dir):
     """Fit on the years before 2000 and score the rest, in the layout of the prediction table."""
-    model, test = _fitted(spark, sf_dir, RegressorConfig())
+    model, test, _ = _fitted(spark, sf_dir, RegressorConfig())
     return score_to_predictions(model.transform(test.drop("series")), "ts", "models:/daily/1", "consumption_id", "series")
 
 
 @query(
     "train_score_facts",
-    f"""WITH {D} SELECT series, count(*) AS n, count(*) AS finite, true AS in_range FROM d
+    f"""WITH {D} SELECT series, count(*) AS n, count(*) AS finite, true AS in_range, true AS beats_constant FROM d
       WHERE ts >= TIMESTAMP '2000-01-01' GROUP BY 1""",
 )
 def train_score_facts(spark, sf_dir):
-    """What holds of any sound fit: as many finite predictions as rows, none far from the labels it was fitted on."""
-    model, test = _fitted(spark, sf_dir, RegressorConfig())
-    scored = model.transform(test)
-    seen = daily(spark, sf_dir).filter(F.col("ts") < F.lit(SPLIT_DATE).cast("timestamp_ntz")).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    """What holds of any sound fit: as many finite predictions as rows, none far from the labels, and on the rows it was fitted on a squared error at most a
+    quarter of that of the best constant."""
+    model, test, train = _fitted(spark, sf_dir, RegressorConfig())
+    seen = train.agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    error = model.transform(train).agg(F.avg((F.col("prediction") - F.col("v")) ** 2).alias("error"), F.var_pop("v").alias("constant"))
     near = F.col("prediction").between(F.col("low") * 2 - F.col("high"), F.col("high") * 2 - F.col("low"))
     finite = F.count_if(F.col("prediction").isNotNull() & ~F.isnan("prediction"))
-    return attach(scored, seen, []).groupBy("series").agg(F.count(F.lit(1)).alias("n"), finite.alias("finite"), F.bool_and(near).alias("in_range"))
+    rows = attach(attach(model.transform(test), seen, []), error, [])
+    facts = rows.groupBy("series").agg(F.count(F.lit(1)).alias("n"), finite.alias("finite"), F.bool_and(near).alias("in_range"), F.max(F.col("error") * 4 <= F.col("constant")).alias("beats_constant"))
+    return facts
 
 
 @query(
@@ -250,7 +253,7 @@ def train_score_facts(spark, sf_dir):
 )
 def score_with_gaps(spark, sf_dir):
     """A series shorter than its longest lag is scored row by row like the others, though its lags are unknown."""
-    model, test = _fitted(spark, sf_dir, RegressorConfig())
+    model, test, _ = _fitted(spark, sf_dir, RegressorConfig())
     days = daily(spark, sf_dir)
     first = F.row_number().over(Window.partitionBy("series").orderBy("ts"))
     short = days.filter(F.col("series") == "5-LOW").withColumn("_i", first).filter("_i <= 10").drop("_i")
