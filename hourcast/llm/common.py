@@ -32,9 +32,26 @@ def settle(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder that ``spark.checkpoint.dir`` names."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made_so_far() -> int:
+    return len(_MADE)
+
+
+def drop_made(spark: SparkSession, first: int, last: int, unless_read_by: DataFrame) -> None:
+    """Delete the scratch tables of a stretch of calls, when their results are written; a frame that still reads one keeps it."""
+    read = unless_read_by.inputFiles()
+    for path in _MADE[first:last]:
+        if not any(path.rsplit("/", 1)[-1] in file for file in read):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
