@@ -2,6 +2,10 @@
 
 Each is a plain function over tables below one folder.  Dates are arguments;
 only scalars (dates, metrics, version numbers) and fitted models reach the driver.
+
+A job that died can be started again with the same arguments: every write is one
+commit (see ``sources.manifests``), merges renew the same rows, and rows that a
+run adds to a table are a step named by its id, which the table takes once.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from hourcast.operators.training import (
     labels_of,
     load_model,
     make_pipeline,
-    save_model,
+    save_pipeline,
     score_to_predictions,
     shift_split,
     time_folds,
@@ -50,8 +54,8 @@ from hourcast.sources.tables import (
     merge_into,
     months_between,
     replace_table,
+    save,
     settled,
-    snapshot,
     with_month,
     write_months,
 )
@@ -141,7 +145,7 @@ def _fit_and_log(
     if project.grid:
         folds = train.withColumn("_fold", F.floor(F.col("_tenth") * 3 / 10).cast("int"))
         tuned = tune(pipeline, project.grid, VALUE, fold_column="_fold").fit(folds)
-        append(tuning_report(spark, tuned).withColumn("run_id", F.lit(run_id)), project.path("tuning"))
+        append(tuning_report(spark, tuned).withColumn("run_id", F.lit(run_id)), project.path("tuning"), run_id)
         best = min(range(len(tuned.avgMetrics)), key=tuned.avgMetrics.__getitem__)
         pipeline = pipeline.copy(tuned.getEstimatorParamMaps()[best])
     if project.stop_early:
@@ -161,26 +165,32 @@ def _fit_and_log(
     append(
         run_tables.run_row(spark, run_id, project.name, now, params, {"kind": kind}, row),
         project.path("runs"),
+        run_id,
     )
     weights = feature_importance(spark, fit.model, columns).withColumn("run_id", F.lit(run_id))
-    append(weights, project.path("importances"))
+    append(weights, project.path("importances"), run_id)
     return fit, run_tables.gate(measured, project.thresholds)
 
 
 def _register(
-    spark: SparkSession, project: Project, fit: Fit, data: DataFrame, now: datetime
+    spark: SparkSession, project: Project, fit: Fit, data: DataFrame, now: datetime, run_id: str
 ) -> int:
-    """Store model and training data under the next version, staged as 'Staging'."""
-    table = project.path("versions")
+    """Store model and training data of a run, then list them under the next version, staged as 'Staging'.
+
+    Folders carry the name of the run: what a run that died has left there is written over. A run that is listed already keeps its version.
+    """
+    table, path = project.path("versions"), f"{project.path('models')}/run={run_id}"
     versions = (
         load(spark, table) if exists(spark, table) else spark.createDataFrame([], run_tables.VERSIONS_SCHEMA)
     )
+    known = versions.filter((F.col("name") == project.name) & (F.col("path") == path)).agg(F.max("version")).first()[0]
+    if known is not None:
+        return known
     new = run_tables.next_version(versions, project.name, "", now, "Staging")
-    version = new.first()["version"]
-    path = save_model(fit.model, project.path("models"), version)
-    snapshot(data, project.path("training_data"), version)
-    append(new.withColumn("path", F.lit(path)), table)
-    return version
+    save_pipeline(fit.model, path)
+    save(data, f"{project.path('training_data')}/run={run_id}")
+    append(new.withColumn("path", F.lit(path)), table, run_id)
+    return new.first()["version"]
 
 
 def _staged_path(spark: SparkSession, project: Project, stage: str) -> tuple[int, str] | None:
@@ -223,9 +233,9 @@ def ingest(spark: SparkSession, project: Project, clean: DataFrame) -> date:
 
 def ingest_landing(spark: SparkSession, project: Project, landing: DataFrame, run_id: str, text: str = "datetime", **options) -> DataFrame:
     """Clean landing rows; rows with unreadable interval text are kept in 'rejected' and counted in 'quality'."""
-    append(unreadable_rows(landing, text).withColumn("run_id", F.lit(run_id)), project.path("rejected"))
+    append(unreadable_rows(landing, text).withColumn("run_id", F.lit(run_id)), project.path("rejected"), run_id)
     counted = landing.agg(F.count_if(parse_interval(text).isNull()).alias("bad"), F.count(F.lit(1)).alias("rows"))
-    append(row_result(counted, "readable_time", text, "interval text").withColumn("run_id", F.lit(run_id)), project.path("quality"))
+    append(row_result(counted, "readable_time", text, "interval text").withColumn("run_id", F.lit(run_id)), project.path("quality"), f"{run_id}/landing")
     return clean_landing(landing, "series", text, ts=TS, out_value=VALUE, **options).withColumnRenamed("series", KEY)
 
 
@@ -258,12 +268,12 @@ def train_job(
     first = ingest(spark, project, clean)
     actual = _actuals(load(spark, project.path("history")).drop(MONTH))
     if suite:
-        append(run_suite(actual, suite, run_id), project.path("quality"))
+        append(run_suite(actual, suite, run_id), project.path("quality"), f"{run_id}/suite")
     refresh_features(spark, project, first)
     fit, gate = _fit_and_log(spark, project, bounds, run_id, "training", now)
     if gate.agg(F.bool_and("passed")).first()[0]:
         sets = _sets(spark, project, bounds)
-        version = _register(spark, project, fit, sets["train"].unionByName(sets["test"]), now)
+        version = _register(spark, project, fit, sets["train"].unionByName(sets["test"]), now, run_id)
         if promote:
             _move(spark, project, version, "Production", archive=True)
     return gate
@@ -348,13 +358,13 @@ def retrain_job(
     refresh_features(spark, project, _day(bounds["train"][1]))
     stored = _months(spark, project, "features", bounds["train"][0], moved["train"][1])
     report = drift_report(stored, bounds["train"][1], moved["train"][1], project.features)
-    append(report.withColumn("run_id", F.lit(run_id)), project.path("drift"))
+    append(report.withColumn("run_id", F.lit(run_id)), project.path("drift"), run_id)
 
     fit, gate = _fit_and_log(spark, project, moved, run_id, "retraining", now)
     if not gate.agg(F.bool_and("passed")).first()[0]:
         return gate
     sets = _sets(spark, project, moved)
-    version = _register(spark, project, fit, sets["train"].unionByName(sets["test"]), now)
+    version = _register(spark, project, fit, sets["train"].unionByName(sets["test"]), now, run_id)
     production = _staged_path(spark, project, "Production")
     if production is None:
         _move(spark, project, version, "Production", archive=True)
@@ -367,7 +377,7 @@ def retrain_job(
     with settled(compare_models(spark, project, labels, features, {"staging": staged[1], "production": production[1]})) as both:
         sides = (VALUE, "staging_prediction", "production_prediction")
         by_series = run_tables.choose_champion(both, *sides, [KEY])
-        append(by_series.withColumn("run_id", F.lit(run_id)), project.path("comparisons"))
+        append(by_series.withColumn("run_id", F.lit(run_id)), project.path("comparisons"), run_id)
         choice = run_tables.choose_champion(both, *sides)
         winner = choice.first()["champion"]
     if winner == "Staging":

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from hourcast.operators.upsert import assert_unique, upsert
 from hourcast.session import ensure_checkpoint_dir
+from hourcast.sources import manifests
 
 
 def is_path(name: str) -> bool:
@@ -21,13 +22,18 @@ def is_path(name: str) -> bool:
 
 
 def load(spark: SparkSession, name: str) -> DataFrame:
-    """A table by catalog name, or a Parquet folder by path."""
-    return spark.read.parquet(name) if is_path(name) else spark.read.table(name)
+    """A table by catalog name, or by path: the current state of a table with manifests, or a Parquet folder."""
+    if not is_path(name):
+        return spark.read.table(name)
+    state = manifests.current(spark, name)
+    return manifests.read(spark, name, state) if state else spark.read.parquet(name)
 
 
 def exists(spark: SparkSession, name: str) -> bool:
     if not is_path(name):
         return spark.catalog.tableExists(name)
+    if manifests.managed(spark, name):
+        return bool(manifests.versions(spark, name))
     try:
         load(spark, name)
     except AnalysisException as error:
@@ -40,7 +46,9 @@ def exists(spark: SparkSession, name: str) -> bool:
 def save(
     df: DataFrame, name: str, partition_by: Sequence[str] = (), mode: str = "overwrite", format: str = "parquet"
 ) -> None:
-    """Write a table; the plan of ``df`` must not read the same table (see ``merge_into``)."""
+    """Write a plain table; the plan of ``df`` must not read the same table (see ``merge_into``)."""
+    if is_path(name) and manifests.versions(df.sparkSession, name):
+        raise ValueError(f"{name} has manifests: use append, replace_table, write_months or merge_into")
     writer = df.write.mode(mode).format(format).partitionBy(*partition_by)
     writer.save(name) if is_path(name) else writer.saveAsTable(name)
 
@@ -101,8 +109,19 @@ def rows_to_df(spark: SparkSession, rows: Sequence[tuple], schema: str | StructT
     return spark.createDataFrame(list(rows), schema)
 
 
-def append(df: DataFrame, name: str) -> None:
-    save(df, name, mode="append")
+def append(df: DataFrame, name: str, step: str | None = None) -> None:
+    """Add rows to a table, all or none; creates it. The rows of a named ``step`` are added once, however often it is started.
+
+    A Parquet folder without manifests and a catalog table are appended to as Spark does it; they know no steps.
+    """
+    spark = df.sparkSession
+    if not is_path(name):
+        return save(df, name, mode="append")
+    state = manifests.current(spark, name)
+    if state is None and exists(spark, name):
+        return save(df, name, mode="append")
+    if state is None or step is None or step not in state.steps:
+        manifests.change(manifests.aligned(df, state) if state else df, name, state, step=step)
 
 
 def append_if_absent(rows: DataFrame, name: str, keys: Sequence[str]) -> None:
@@ -112,7 +131,8 @@ def append_if_absent(rows: DataFrame, name: str, keys: Sequence[str]) -> None:
         rows = rows.join(load(spark, name).select(*keys), list(keys), "left_anti")
     # The list of new rows is fixed before the table it was compared with grows.
     with settled(rows) as fixed:
-        append(fixed, name)
+        if fixed.limit(1).count() or not exists(spark, name):
+            append(fixed, name)
 
 
 # Tasks that write one month, and so the files it gets.
@@ -124,14 +144,26 @@ def by_month(df: DataFrame, spread: Sequence[str], month: str = "month_key") ->
     return df.repartition(F.col(month), F.pmod(F.xxhash64(*spread), F.lit(FILES_PER_MONTH)))
 
 
+def _state(spark: SparkSession, path: str) -> manifests.Manifest | None:
+    state = manifests.current(spark, path)
+    if state is None and exists(spark, path):
+        raise ValueError(f"{path} is a plain folder: load it and write it to a new path")
+    return state
+
+
 def write_months(df: DataFrame, path: str, spread: Sequence[str], month: str = "month_key") -> None:
-    """Write the months that occur in ``df`` and leave the others as they are; ``df`` must not read ``path``."""
-    writer = by_month(df, spread, month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(month).parquet(path)
+    """Write the months that occur in ``df`` and leave the others as they are, in one commit; ``df`` may read ``path``."""
+    state = _state(df.sparkSession, path)
+    manifests.change(by_month(manifests.aligned(df, state) if state else df, spread, month), path, state, month)
 
 
 def replace_table(df: DataFrame, name: str) -> None:
-    """Replace a small table by a frame that may itself read it, such as the version table."""
+    """Replace a small table, such as the version table, by a frame that may itself read it."""
+    if is_path(name):
+        state = manifests.current(df.sparkSession, name)
+        if state or not exists(df.sparkSession, name):
+            manifests.change(df, name, state, keep=False)
+            return
     with settled(df) as fixed:
         save(fixed, name)
 
@@ -152,21 +184,22 @@ def merge_into(
 ) -> None:
     """Upsert a batch into a Parquet table partitioned by month; creates the table.
 
-    Only the months of the batch are read, merged and rewritten.  The batch is
-    cached while its keys are checked and its months are merged.  A NULL time or
-    key is an error: such a row has no month, and matches nothing.
+    Only the months of the batch are read and merged, and written anew beside the old ones; one commit puts them in their place, or fails if the table
+    has changed since it was read (``ConcurrentWrite``). The batch is cached while its keys are checked and its months are merged. A NULL time or key
+    is an error: such a row has no month, and matches nothing.
     """
     spark = source.sparkSession
     batch = with_month(source, ts, month).persist()
     try:
         assert_unique(assert_known(batch, sorted({*keys, ts})), keys)
-        if not exists(spark, path):
+        state = _state(spark, path)
+        if state is None:
             if insert:
-                write_months(batch, path, keys, month)
+                manifests.change(by_month(batch, keys, month), path, None, month)
             return
-        touched = months_of(load(spark, path), months_in(batch, month), month)
-        with settled(upsert(touched, batch, keys, update, insert)) as merged:
-            write_months(merged, path, keys, month)
+        touched = months_of(manifests.read(spark, path, state), months_in(batch, month), month)
+        merged = manifests.aligned(upsert(touched, batch, keys, update, insert), state)
+        manifests.change(by_month(merged, keys, month), path, state, month)
     finally:
         batch.unpersist()
 

@@ -167,7 +167,7 @@ def test_merge_into_rewrites_only_touched_months(spark, tmp_path):
     path = str(tmp_path / "history")
     old = [("a", datetime(2024, m, 1), float(m)) for m in (1, 2, 3)]
     tables.merge_into(frame(spark, old), path, KEY, "ts")
-    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "history").glob("month_key=*/*.parquet")}
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "history").rglob("month_key=*/*.parquet")}
     tables.merge_into(frame(spark, [("a", datetime(2024, 2, 1), 20.0), ("b", datetime(2024, 2, 1), 5.0)]), path, KEY, "ts")
     out = rows_of(tables.load(spark, path), "series", "ts", "v")
     assert out == [("a", datetime(2024, 1, 1), 1.0), ("a", datetime(2024, 2, 1), 20.0), ("a", datetime(2024, 3, 1), 3.0), ("b", datetime(2024, 2, 1), 5.0)]
