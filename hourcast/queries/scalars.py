@@ -143,10 +143,10 @@ def date_arith(spark, sf_dir):
 
 @query(
     "filter_part",
-    f"WITH {D} SELECT series, ts, v FROM d WHERE year(ts) = 1996 AND month(ts) = 4 AND week(ts) = 14",
+    f"WITH {D} SELECT series, ts, v FROM d WHERE year(ts) = 1996 AND month(ts) = 9 AND week(ts) = 37",
 )
 def calendar_filter(spark, sf_dir):
-    return filter_part(daily(spark, sf_dir), "ts", year=1996, month=4, week=14)
+    return filter_part(daily(spark, sf_dir), "ts", year=1996, month=9, week=37)
 
 
 @query(
