@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from hourcast.functions.steps import epoch_seconds, step_seconds
-from hourcast.operators.chunks import last_known
+from hourcast.operators.chunks import CHUNK, carry_rows, chunk_window, last_known, time_chunk
 
-BUCKET = "_bucket"
+AT = "_at"
+LABEL = "_label"
+FOUND = "_found"
 
 
 def lookup_equal(labels: DataFrame, features: DataFrame, keys: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
@@ -28,47 +29,37 @@ def lookup_asof(
 ) -> DataFrame:
     """For each label the latest feature row at or before it; NULL columns if there is none.
 
-    ``features`` has at most one row per key and time.  Its rows are packed per
-    key and time bucket (bounded by the bucket length), each bucket also gets
-    the latest row before it, and the labels meet their bucket in one equi-join.
-    Labels are never sorted or grouped by key: they only give a distinct list of
-    buckets, and a hot key or bucket is a skewed join that Spark splits.
+    A merge in the order of time: both sides are put together, moved once by key
+    and bucket of time, and a running "last feature row" goes over the rows of a
+    bucket, starting from the last one of the buckets before.  Nothing is packed
+    or held per key, each side is read once, and a hot key spans as many tasks as
+    its time span has buckets.  One feature row per key and bucket is folded.
+
+    ``features`` has at most one row per key and time.  A label with a NULL key
+    or time finds nothing.  Times of two types are compared as timestamps.
     """
     payload = [c for c in features.columns if c not in (*keys, ts) and c not in labels.columns]
-    place = F.floor(epoch_seconds(ts) / F.lit(step_seconds(bucket)))
-    row = F.struct(F.col(ts).alias("_at"), *payload)
-    packed = (
-        features.withColumn(BUCKET, place)
-        .groupBy(*keys, BUCKET)
-        .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    )
-    wanted = labels.select(*keys, place.alias(BUCKET)).distinct().withColumn("_wanted", F.lit(True))
-    # One row per bucket: its newest feature row.  As many as the time span has buckets.
-    newest = packed.select(*keys, BUCKET, F.get("_rows", F.size("_rows") - 1).alias("_newest"))
-    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rangeBetween(Window.unboundedPreceding, -1)
-    prior = (
-        newest.unionByName(wanted, allowMissingColumns=True)
-        .withColumn("_prior", last_known(F.col("_newest")).over(earlier))
-        .filter("_wanted")
-        .drop("_newest")
-    )
-    buckets = (
-        packed.unionByName(prior, allowMissingColumns=True)
-        .groupBy(*keys, BUCKET)
-        .agg(
-            F.first("_rows", ignorenulls=True).alias("_rows"),
-            F.first("_prior", ignorenulls=True).alias("_prior"),
-            F.bool_or("_wanted").alias("_wanted"),
-        )
-        .filter("_wanted")
-        .drop("_wanted")
+    if not payload:
+        return labels.drop(*exclude)
+    others = [c for c in labels.columns if c not in keys]
+    # Labels without a time need no common task.
+    hashed = [f.name for f in labels.schema if "map<" not in f.dataType.simpleString()]
+    nowhere = F.lit(2**62) + F.pmod(F.xxhash64(*hashed), F.lit(1024))
+    left = labels.select(*keys, F.col(ts).alias(AT), F.struct(*others).alias(LABEL), nowhere.alias(CHUNK))
+    right = features.dropna(subset=[*keys, ts]).select(*keys, F.col(ts).alias(AT), F.struct(*payload).alias(FOUND))
+    rows = (
+        left.unionByName(right, allowMissingColumns=True)
+        .withColumn(CHUNK, F.coalesce(time_chunk(AT, bucket, 1), CHUNK))
+        .repartition(*keys, CHUNK)
     )
-    at_or_before = F.filter("_rows", lambda r: r["_at"] <= F.col(ts))
-    found = F.coalesce(F.get(at_or_before, F.size(at_or_before) - 1), F.col("_prior"))
-    joined = labels.withColumn(BUCKET, place).join(buckets, [*keys, BUCKET], "left")
-    return joined.select(
-        *labels.columns, *[found[c].alias(c) for c in payload]
-    ).drop(*exclude)
+    # The tag is the label itself, so the summary reads the columns that the rows have and both share one shuffle.
+    latest = F.max_by(FOUND, F.when(F.col(LABEL).isNull(), F.col(AT)))
+    merged = carry_rows(rows, keys, CHUNK, {FOUND: (latest, last_known)}, spread=True)
+    running = chunk_window(keys, CHUNK, [F.col(AT).asc(), F.col(LABEL).isNull().desc()])
+    found = merged.withColumn(FOUND, last_known(F.col(FOUND)).over(running)).filter(F.col(LABEL).isNotNull())
+    own = [F.col(c).cast(labels.schema[c].dataType).alias(c) if c in keys else F.col(LABEL)[c].alias(c) for c in labels.columns]
+    looked_up = [F.when(F.col(AT).isNotNull(), F.col(FOUND)[c]).alias(c) for c in payload]
+    return found.select(*own, *looked_up).drop(*exclude)
 
 
 def join_scores(left: DataFrame, right: DataFrame, id_column: str, score: str) -> DataFrame:

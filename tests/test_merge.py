@@ -81,6 +81,41 @@ def test_asof_matches_brute_force(spark, bucket):
     assert rows_of(out) == sorted([(k, t, v, brute(k, t)) for k, t, v in labels], key=repr)
 
 
+def test_asof_without_key_or_time(spark):
+    features = frame(spark, [("a", hour(1), 1.0), ("a", None, 2.0), (None, hour(1), 3.0), ("b", hour(2), None)], "series string, ts timestamp_ntz, f double")
+    labels = frame(spark, [("a", None, 0.0), (None, hour(5), 1.0), (None, None, 2.0), ("b", hour(9), 3.0), ("a", hour(1), 4.0)])
+    out = {r["v"]: r["f"] for r in lookup_asof(labels, features, ["series"], "ts").collect()}
+    assert out == {0.0: None, 1.0: None, 2.0: None, 3.0: None, 4.0: 1.0}
+    assert lookup_asof(labels, features.limit(0), ["series"], "ts").count() == 5
+    assert lookup_asof(labels.limit(0), features, ["series"], "ts").count() == 0
+    assert lookup_asof(labels, features.drop("f"), ["series"], "ts").columns == ["series", "ts", "v"]
+
+
+def test_asof_takes_the_newest_row_even_if_it_is_unknown(spark):
+    features = frame(spark, [("a", hour(1), 1.0), ("a", hour(30), None)], "series string, ts timestamp_ntz, f double")
+    labels = frame(spark, [("a", hour(t), float(t)) for t in (2, 31, 90)])
+    out = {r["v"]: r["f"] for r in lookup_asof(labels, features, ["series"], "ts").collect()}
+    assert out == {2.0: 1.0, 31.0: None, 90.0: None}
+
+
+def test_asof_reads_each_side_once_and_spreads_a_hot_key(spark, tmp_path):
+    hours = range(24 * 60)
+    frame(spark, [("hot", hour(i), float(i)) for i in hours], "series string, ts timestamp_ntz, f double").write.parquet(str(tmp_path / "f"))
+    frame(spark, [("hot", hour(i + 0.5), float(i)) for i in hours]).write.parquet(str(tmp_path / "l"))
+    labels, features = spark.read.parquet(str(tmp_path / "l")), spark.read.parquet(str(tmp_path / "f"))
+    out = lookup_asof(labels, features, ["series"], "ts")
+    assert out.filter("f = v").count() == len(hours)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = lookup_asof(labels, features, ["series"], "ts").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < len(hours) / 2
+
+
 def test_equal_lookup_and_joins(spark):
     labels = frame(spark, [("x", 1.0), ("y", 2.0)], "id string, v double")
     features = frame(spark, [("x", 5.0, 0.0)], "id string, f double, v double")
