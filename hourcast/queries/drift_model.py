@@ -22,7 +22,7 @@ from hourcast.operators.windows import lags
 from hourcast.plans.features import build_features
 from hourcast.queries.compare import rounded
 from hourcast.queries.features import DAILY, daily_features
-from hourcast.queries.frames import CHUNK, D, KEYS, SPLIT_DATE, daily
+from hourcast.queries.frames import CHUNK, D, KEYS, SPLIT_DATE, cents, daily, table
 from hourcast.queries.registry import query
 from hourcast.queries.scalars import FLAG_SQL, FLAGS, flagged
 
@@ -142,6 +142,40 @@ def ks_on_flags(spark, sf_dir):
     return rounded(drift.ks_drift(days, list(FLAGS.values()), GROUP, rule="pvalue"), 9)
 
 
+MONTH_FEATURES = ["v", "per_order", "n"]
+
+
+@query(
+    "ks_exact",
+    f"""WITH RECURSIVE mt AS (SELECT date_trunc('month', o_orderdate) AS ts, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS v,
+        count(*) AS n FROM orders GROUP BY 1),
+      a AS (SELECT v, n, v::DOUBLE / n AS per_order, CASE WHEN ts < TIMESTAMP '1999-01-01' THEN 'old' ELSE 'new' END AS data_group FROM mt),
+      l AS ({_long_sql("a", MONTH_FEATURES)}),
+      c AS (SELECT feature, value, count(*) FILTER (data_group = 'old') AS o, count(*) FILTER (data_group = 'new') AS n FROM l GROUP BY 1, 2),
+      r AS (SELECT feature, sum(o) OVER w AS co, sum(n) OVER w AS cn, sum(o) OVER f AS no, sum(n) OVER f AS nn FROM c
+        WINDOW w AS (PARTITION BY feature ORDER BY value), f AS (PARTITION BY feature)),
+      k AS (SELECT feature, CAST(max(abs(co * nn - cn * no)) AS BIGINT) AS h, CAST(max(no) AS BIGINT) AS n, CAST(max(nn) AS BIGINT) AS m
+        FROM r GROUP BY 1),
+      walk(feature, i, j, every, inside) AS (
+        SELECT feature, 0::BIGINT, 0::BIGINT, 1::DOUBLE, CASE WHEN h > 0 THEN 1 ELSE 0 END::DOUBLE FROM k
+        UNION ALL
+        SELECT feature, i, j, sum(every), sum(CASE WHEN abs(i * m - j * n) < h THEN inside ELSE 0 END)
+        FROM (SELECT w.feature, w.i + d.a AS i, w.j + 1 - d.a AS j, w.every, w.inside, k.n, k.m, k.h
+          FROM walk w JOIN k ON k.feature = w.feature CROSS JOIN (VALUES (0), (1)) d(a))
+        WHERE i <= n AND j <= m GROUP BY feature, i, j)
+    SELECT k.feature, round(h::DOUBLE / (n * m), 9) AS statistic, n AS n_old, m AS n_new, round(h::DOUBLE / (n * m) / n, 9) AS effect_size,
+      round(1 - inside / every, 9) AS p_value, 1 - inside / every < 0.05 AS drifted
+    FROM walk w JOIN k ON k.feature = w.feature AND w.i = k.n AND w.j = k.m""",
+)
+def ks_exact(spark, sf_dir):
+    """Months of orders before and after a day; the SQL counts the paths that stay within the distance, the operator those that do not."""
+    orders = table(spark, sf_dir, "orders")
+    months = orders.groupBy(F.date_trunc("month", "o_orderdate").alias("ts")).agg(F.sum(cents("o_totalprice")).alias("v"), F.count("*").alias("n"))
+    old = F.col("ts") < F.lit("1999-01-01").cast("timestamp")
+    groups = months.select("v", "n", (F.col("v").cast("double") / F.col("n")).alias("per_order"), F.when(old, drift.OLD).otherwise(drift.NEW).alias(GROUP))
+    return rounded(drift.ks_drift(groups, MONTH_FEATURES, GROUP, rule="pvalue", method="exact"), 9)
+
+
 SAMPLE_ORDER = "md5(series || '|' || CAST(ts AS VARCHAR) || '|123')"
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -188,6 +189,40 @@ def test_ks_extremes_and_rules(spark):
     assert drift.ks_drift(grouped(spark, [1.0] * 40, [2.0] * 40), ["x"], "g").first()["effect_size"] == 1 / 40
 
 
+@pytest.mark.parametrize(("n", "m"), [(1, 1), (3, 5), (6, 4), (5, 5), (1, 9)])
+def test_exact_tail_counts_all_orders(n, m):
+    far = []
+    for places in combinations(range(n + m), n):
+        i, j, worst = 0, 0, 0
+        for k in range(n + m):
+            i, j = (i + 1, j) if k in places else (i, j + 1)
+            worst = max(worst, abs(i * m - j * n))
+        far.append(worst)
+    for steps in range(n * m + 2):
+        assert drift.path_share(steps, n, m) == pytest.approx(sum(w >= steps for w in far) / len(far), rel=1e-12, abs=0)
+
+
+def test_exact_tail_keeps_small_values():
+    assert drift.path_share(400 * 300, 400, 300) == pytest.approx(2 / math.comb(700, 300), rel=1e-9)
+    # Close to the limit of large samples where both hold.
+    d, n, m = 0.06, 1500, 1200
+    scale = d * d * n * m / (n + m)
+    limit = 2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * scale) for j in range(1, 101))
+    assert drift.path_share(round(d * n * m), n, m) == pytest.approx(limit, rel=0.1)
+
+
+def test_ks_method_is_the_callers_choice(spark):
+    df = grouped(spark, [1.0, 2.0, 3.0], [4.0, 5.0, 6.0, 7.0]).withColumn("y", F.lit(1.0)).withColumn("z", F.lit(None).cast("double"))
+    exact = {r["feature"]: r for r in drift.ks_drift(df, ["x", "y", "z"], "g", "pvalue", method="exact").collect()}
+    assert exact["x"]["p_value"] == pytest.approx(2 / 35) and exact["x"]["drifted"] is False
+    assert exact["y"]["p_value"] == 1.0 and "z" not in exact
+    assert drift.ks_drift(df, ["x"], "g", "pvalue").first()["p_value"] == pytest.approx(2 * math.exp(-24 / 7), abs=1e-5)
+    one_side = drift.ks_drift(df.filter("g = 'old'"), ["x"], "g", "pvalue", method="exact").first()
+    assert one_side["p_value"] is None and one_side["drifted"] is False
+    with pytest.raises(ValueError, match="unknown method"):
+        drift.ks_drift(df, ["x"], "g", method="auto")
+
+
 def test_crosstab(spark):
     df = grouped(spark, [0.0, 1.0, 1.0], [1.0])
     assert rows_of(drift.crosstab(df, "x", "g"), "x", "new", "old") == [(0.0, 0, 1), (1.0, 1, 2)]
