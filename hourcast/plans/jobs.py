@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hourcast.functions.calendar import parse_interval
 from hourcast.functions.keys import id_to_series
@@ -211,7 +211,7 @@ def _move(spark: SparkSession, project: Project, version: int, stage: str, archi
 
 
 def ingest(spark: SparkSession, project: Project, clean: DataFrame) -> date:
-    """Merge clean rows into the raw table and renew the history of the steps they touch; returns the first day renewed.
+    """Merge clean rows into the raw table, renew the history of the steps they touch and its row counts; returns the first day renewed.
 
     A step may be longer than a month, or span two: all months of the touched steps are read, and only touched steps are renewed.
     """
@@ -228,6 +228,7 @@ def ingest(spark: SparkSession, project: Project, clean: DataFrame) -> date:
         [KEY, TS],
         TS,
     )
+    merge_into(_row_counts(_months(spark, project, "history", first, last)), project.path("row_counts"), [KEY, TS], TS)
     return first.date()
 
 
@@ -239,12 +240,54 @@ def ingest_landing(spark: SparkSession, project: Project, landing: DataFrame, ru
     return clean_landing(landing, "series", text, ts=TS, out_value=VALUE, **options).withColumnRenamed("series", KEY)
 
 
+def _row_counts(history: DataFrame) -> DataFrame:
+    """Actual rows per series and month."""
+    month = truncate(TS, "month").alias(TS)
+    return _actuals(history).groupBy(KEY, month).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _renewal(counts: DataFrame, start: date, rows: int) -> tuple[date, list[str]]:
+    """The first month whose features depend on rows from ``start`` on, and the earlier months that hold the rows they need.
+
+    A series with at most ``rows`` rows before ``start`` has features there that
+    are filled back from later rows, so it is renewed from its first month.  Of
+    every series renewed, the last ``rows`` rows before are needed, whatever gaps
+    lie between.  Works on one row per series and month; a date and names of
+    months reach the driver.
+    """
+
+    def instant(day: date) -> Column:
+        return F.lit(day).cast("timestamp_ntz")
+
+    spans = counts.groupBy(KEY).agg(
+        F.sum(F.when(F.col(TS) < instant(start), F.col("n"))).alias("_before"), F.min(TS).alias("_oldest"), F.max(TS).alias("_newest")
+    )
+    short = spans.filter((F.col("_newest") >= instant(start)) & (F.col("_before") <= rows)).agg(F.min("_oldest")).first()[0]
+    first = min(start, short.date()) if short else start
+    renewed = spans.filter(F.col("_newest") >= instant(first)).select(KEY)
+    newer = Window.partitionBy(KEY).orderBy(F.col(TS).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    needed = (
+        counts.join(renewed, KEY, "left_semi")
+        .filter(F.col(TS) < instant(first))
+        .withColumn("_after", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+        .filter(F.col("_after") < rows)
+    )
+    return first, [r["m"] for r in needed.select(F.date_format(TS, "yyyy-MM").alias("m")).distinct().collect()]
+
+
 def refresh_features(spark: SparkSession, project: Project, first: date) -> None:
-    """Rebuild the features from the month of ``first`` on; earlier months are only read as far as lags reach back."""
-    start = first.replace(day=1)
+    """Rebuild the features from the month of ``first`` on.
+
+    Earlier months are read as far as lags reach back in time, and those that hold
+    the rows which moving statistics and lags by rows count.
+    """
     history = load(spark, project.path("history"))
     if exists(spark, project.path("features")):
-        actual = _actuals(months_between(history, start - project.reach, date(9999, 12, 31)))
+        table = project.path("row_counts")
+        counts = load(spark, table).drop(MONTH) if exists(spark, table) else _row_counts(history)
+        start, months = _renewal(counts, first.replace(day=1), project.features.reach)
+        key = F.col(MONTH).cast("string")
+        actual = _actuals(history.filter(key.isin(months) | (key >= F.lit(f"{start - project.reach:%Y-%m}"))).drop(MONTH))
         built = build_features(actual, KEY, TS, VALUE, project.features).filter(F.col(TS) >= F.lit(start).cast("timestamp_ntz"))
     else:
         built = build_features(_actuals(history.drop(MONTH)), KEY, TS, VALUE, project.features)

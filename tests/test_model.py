@@ -380,6 +380,36 @@ def test_ingest_renews_whole_steps(spark, tmp_path):
     assert rows_of(history, "DATETIME", "HOURLY_CONSUMPTION_MW") == [(datetime(2024, 1, 22), 5.0), (datetime(2024, 1, 29), 111.0)]
 
 
+@pytest.mark.parametrize("mode", ["time", "rows"])
+def test_refreshed_features_equal_a_full_build(spark, tmp_path, mode):
+    """A gap of weeks, a series that starts shortly before it, one that ends before it, and a batch that changes old rows."""
+    config = FeatureConfig(lags={"l24": 24}, moving={"m": (24, "avg", 24)}, values=["a", "b", "old"], chunk_rows=100, mode=mode)
+    project = jobs.Project(str(tmp_path), features=config)
+    at = lambda month, i: datetime(2024, month, 1) + timedelta(hours=i)
+    batches = [
+        [("a", at(1, i), float(i)) for i in range(19 * 24)] + [("old", at(1, i), 1.0 + i) for i in range(60)],
+        [("b", at(2, i), 7.0 * i) for i in range(10)],
+        [(s, at(3, i), 1000.0 + i * k) for k, s in enumerate("ab") for i in range(4 * 24)],
+        [("a", at(3, 5), -5.0), ("b", at(3, 0), -6.0)],
+    ]
+    for n, batch in enumerate(batches):
+        first = jobs.ingest(spark, project, renamed(frame(spark, batch)))
+        jobs.refresh_features(spark, project, first)
+        if n < 2:
+            continue
+        history = load(spark, project.path("history")).drop("ORIGIN", "month_key")
+        whole = build_features(history, "COUNTRY", "DATETIME", "HOURLY_CONSUMPTION_MW", config).drop("HOURLY_CONSUMPTION_MW")
+        stored = load(spark, project.path("features")).select(*whole.columns)
+        assert rows_of(stored) == rows_of(whole)
+    # Of the months before March, February holds too few rows of 'b'; nobody alive needs more than January of 'a'.
+    counts = load(spark, project.path("row_counts"))
+    assert set(rows_of(counts, "COUNTRY", "n")) == {("a", 96), ("a", 456), ("b", 10), ("b", 96), ("old", 60)}
+    start, months = jobs._renewal(counts, date(2024, 3, 1), 24)
+    assert start == date(2024, 2, 1) and months == ["2024-01"]
+    start, months = jobs._renewal(counts, date(2024, 3, 1), 5)
+    assert start == date(2024, 3, 1) and sorted(months) == ["2024-01", "2024-02"]
+
+
 def test_unreadable_landing_rows_are_kept(spark, tmp_path):
     project = jobs.Project(str(tmp_path), features=FeatureConfig(values=["a"]))
     rows = [("a", "01.01.2024 00:00 - 01.01.2024 01:00", 5.0), ("a", "soon", 6.0), ("a", None, 7.0)]
