@@ -58,20 +58,34 @@ def winnow(hashes: np.ndarray, words: np.ndarray, guarantee: int) -> list[tuple[
     return out
 
 
-def runs(own: np.ndarray, other: np.ndarray, anchors: list[tuple[int, int]]) -> set[int]:
-    """Lines of ``own`` in the matches that contain an anchor (first line here, first line there), extended both ways as far as lines agree."""
-    out: set[int] = set()
+def agreeing(left: np.ndarray, right: np.ndarray) -> int:
+    """How many elements agree from the start on, looked up in pieces that double."""
+    n = min(len(left), len(right))
+    done, size = 0, 32
+    while done < n:
+        apart = np.flatnonzero(left[done : min(done + size, n)] != right[done : min(done + size, n)])
+        if len(apart):
+            return done + int(apart[0])
+        done, size = done + size, size * 2
+    return n
+
+
+def runs(own: np.ndarray, other: np.ndarray, anchors: list[tuple[int, int]]) -> list[int]:
+    """Lines of ``own`` in the matches that contain an anchor (first line here, first line there), extended both ways as far as lines agree.
+
+    ``anchors`` ascend. One is skipped only if the match of its own diagonal (here - there) covers it: a line that another match deletes may
+    still start a match that goes further.
+    """
+    ends: dict[int, int] = {}
+    marks = np.zeros(len(own) + 1, np.int64)
     for here, there in anchors:
-        if here in out:
+        if here < ends.get(here - there, 0):
             continue
-        n = min(len(own) - here, len(other) - there)
-        apart = np.flatnonzero(own[here : here + n] != other[there : there + n])
-        right = int(apart[0]) if len(apart) else n
-        n = min(here, there)
-        apart = np.flatnonzero(own[here - n : here] != other[there - n : there])
-        left = n - 1 - int(apart[-1]) if len(apart) else n
-        out.update(range(here - left, here + right))
-    return out
+        end = here + agreeing(own[here:], other[there:])
+        marks[here - agreeing(own[:here][::-1], other[:there][::-1])] += 1
+        marks[end] -= 1
+        ends[here - there] = end
+    return np.flatnonzero(np.cumsum(marks) > 0).tolist()
 
 
 def heads(docs: DataFrame, guarantee: int) -> DataFrame:
@@ -121,7 +135,7 @@ def repeated_lines(docs: DataFrame, guarantee: int = 8) -> DataFrame:
             out = []
             for i, found in enumerate(all_anchors.to_pylist()):
                 mine, other = own[i].values.to_numpy(zero_copy_only=False), theirs[i].values.to_numpy(zero_copy_only=False)
-                out.append(sorted(runs(mine, other, [(a["first"], a["there"]) for a in found])))
+                out.append(runs(mine, other, [(a["first"], a["there"]) for a in found]))
             yield pa.RecordBatch.from_arrays([uids, pa.array(out, pa.list_(pa.int32()))], names=["uid", "deleted"])
 
     gone = met.select("uid", "anchors", "own", "theirs").mapInArrow(run, "uid long, deleted array<int>")
@@ -136,7 +150,7 @@ def dedup_lines(docs: DataFrame, guarantee: int = 8) -> DataFrame:
     Rows are ordered by doc_id (NULL first); of equal ids the order is fixed by a table of the run. A window is a shortest run of lines with at least
     ``guarantee`` words; its first occurrence is its source. Where a window occurs again, the match with its source is extended line by line both ways,
     and its lines are deleted. So every repeated run of ``guarantee`` words goes but for its first copy, and the first copy of a line always stays.
-    Lines are compared byte by byte; empty lines count as lines without words.
+    Lines are compared by 64-bit hashes of their bytes; empty lines count as lines without words.
 
     Columns of the input named like the two new ones are replaced. NULL text stays NULL with 0 lines; a text without words, or with fewer than ``guarantee`` words, stays. Where all lines go, the text is empty.
     """

@@ -193,3 +193,30 @@ def test_near_duplicates_of_a_label_in_one_direction(spark, caplog):
     assert all(found[i] <= n for i, n in enumerate(real))
     assert np.mean([found[i] / n for i, n in enumerate(real) if n]) >= 0.97
     assert "recall" in caplog.text
+
+
+def test_an_anchor_on_another_diagonal_is_not_lost(spark):
+    long = {name: " ".join(f"{name}{i}" for i in range(8)) for name in "PXYZ"}
+    short = {name: " ".join(f"{name}{i}" for i in range(4)) for name in "QR"}
+    line = long | short
+    data = [(0, "\n".join(line[c] for c in "PQXQRY"), "en", "a"), (1, "\n".join(line[c] for c in "PQRZ"), "en", "a")]
+    found = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(cases.frame(settle(spark), data)).collect()}
+    assert [found[0], found[1]] == brute.deduped([(i, t) for i, t, *_ in data], 8) == [data[0][1], long["Z"]]
+
+
+def test_runs_match_all_extensions():
+    rng = random.Random(5)
+    for _ in range(300):
+        own, other = (np.array([rng.randint(0, 2) for _ in range(rng.randint(1, 90))]) for _ in range(2))
+        if rng.random() < 0.3:
+            other = own
+        anchors = sorted((i, j) for i in range(len(own)) for j in range(len(other)) if own[i] == other[j] and rng.random() < 0.1)
+        gone = set()
+        for i, j in anchors:
+            a, b = 0, 0
+            while i + a < len(own) and j + a < len(other) and own[i + a] == other[j + a]:
+                a += 1
+            while i - b > 0 and j - b > 0 and own[i - b - 1] == other[j - b - 1]:
+                b += 1
+            gone.update(range(i - b, i + a))
+        assert linededup.runs(own, other, anchors) == sorted(gone)
