@@ -228,7 +228,10 @@ def ingest(spark: SparkSession, project: Project, clean: DataFrame) -> date:
         [KEY, TS],
         TS,
     )
-    merge_into(_row_counts(_months(spark, project, "history", first, last)), project.path("row_counts"), [KEY, TS], TS)
+    counted = project.path("row_counts")
+    # A project without counts gets those of its whole history.
+    rows = _months(spark, project, "history", first, last) if exists(spark, counted) else load(spark, project.path("history")).drop(MONTH)
+    merge_into(_row_counts(rows), counted, [KEY, TS], TS)
     return first.date()
 
 
