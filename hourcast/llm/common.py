@@ -63,6 +63,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def number_rows(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A small frame of whole numbers, sent as Arrow: rows sent as Python objects would start a second pool of workers on every executor."""
+    return spark.createDataFrame(pa.table([pa.array([row[i] for row in rows], pa.int64()) for i in range(len(columns))], names=columns))
+
+
 def running_total(df: DataFrame, value: str, cell: str, order: list[Column], within: list[str] = (), out: str = "before") -> DataFrame:
     """Sum of ``value`` over the rows before each row, in the order (cell, order), separately per ``within``.
 

@@ -113,16 +113,17 @@ def counted(parts: Iterator[np.ndarray], ranges: int) -> Iterator[pa.RecordBatch
 
 
 def seen_more(counts: DataFrame, than: int) -> DataFrame:
-    """token and times of the hashes that were seen more often ``than``, from packed counts."""
+    """token, times and bit (of the token filter) of the hashes that were seen more often than ``than``, from packed counts."""
 
     def total(group: pa.Table) -> pa.Table:
         tokens = np.frombuffer(b"".join(group["tokens"].to_pylist()), np.uint64)
         names, place = np.unique(tokens, return_inverse=True)
         times = np.bincount(place, np.frombuffer(b"".join(group["times"].to_pylist()), np.uint32), len(names)).astype(np.int64)
         often = times > than
-        return pa.table([pa.array(names[often].view(np.int64)), pa.array(times[often])], names=["token", "times"])
+        names = names[often]
+        return pa.table([pa.array(names.view(np.int64)), pa.array(times[often]), pa.array(token_bits(names))], names=["token", "times", "bit"])
 
-    return counts.groupBy("range").applyInArrow(total, "token long, times long")
+    return counts.groupBy("range").applyInArrow(total, "token long, times long, bit long")
 
 
 COUNTS = "range long, tokens binary, times binary"
@@ -194,11 +195,7 @@ def shared_lists(sets: DataFrame) -> DataFrame:
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return counted((b.column(0).flatten().to_numpy().view(np.uint64) for b in rows if b.num_rows), ranges)
 
-    def bits(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            yield pa.RecordBatch.from_arrays([pa.array(token_bits(batch.column(0).to_numpy().view(np.uint64)))], names=["bit"])
-
-    several = seen_more(sets.select("prefix").mapInArrow(count, COUNTS), 1).select("token").mapInArrow(bits, "bit long")
+    several = seen_more(sets.select("prefix").mapInArrow(count, COUNTS), 1)
     shared = sets.sparkSession.sparkContext.broadcast(bit_filter(several, F.col("bit"), TOKEN_FILTER))
 
     def entries(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourcast.llm.common import running_total, saved
+from hourcast.llm.common import number_rows, running_total, saved
 from hourcast.llm.tokens import crc, id_and_text, id_kind, token_batches
 
 PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -177,8 +177,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = 40
     for row in rests.groupBy("bin").count().collect():  # at most window / quantum rows
         histogram[row["bin"]] = row["count"]
     places, free = slots(plan_windows(histogram, depth), n_windows)
-    schema = "__bin long, rank_from long, rank_to long, first long, per long, slot long"
-    plan = F.broadcast(spark.createDataFrame(places, schema).coalesce(1))  # templates times their lengths, whatever the input
+    plan = number_rows(spark, places, ["__bin", "rank_from", "rank_to", "first", "per", "slot"])
+    plan = F.broadcast(plan.coalesce(1))  # templates times their lengths, whatever the input
     ranked = running_total(rests, "one", "cell", [F.col("uid")], ["bin"], out="rank")
     met = ranked.join(plan, (F.col("bin") == F.col("__bin")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
     into = F.col("rank") - F.col("rank_from")
@@ -205,7 +205,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = 40
             ends.append((free + over // window + len(ends), 0, 1 << k, at))
             at += 1 << k
     new = spark.range(over // window).select((F.col("id") + free).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(window).cast("long").alias("size"), (F.col("id") * window + n_gap).alias("at"))
-    gaps = gaps.unionByName(new).unionByName(spark.createDataFrame(ends, "sequence_id long, offset long, size long, at long"))
+    gaps = gaps.unionByName(new).unionByName(number_rows(spark, ends, ["sequence_id", "offset", "size", "at"]))
 
     def stretches(begin: str, size: str):
         return F.explode(F.sequence(F.floor(F.col(begin) / STRETCH), F.floor((F.col(begin) + F.col(size) - 1) / STRETCH)))
