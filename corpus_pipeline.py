@@ -16,7 +16,7 @@ from hourcast.llm import jaccard, langid, linededup, mixing, packing
 from hourcast.llm.common import drop_made, made_so_far, saved, settle
 
 # Large arrays of Python workers go back to the system as soon as they are free: workers outlive the stages of the pipeline.
-WORKERS = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2"}
+WORKERS = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 _made: list[tuple[int, int]] = []
 
 
