@@ -19,6 +19,7 @@ number of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -31,6 +32,9 @@ BLOCK = "_block"
 OWN = "_own"
 POSITION = "_pos"
 CHUNK_ROWS = 1024
+LEAST_SIDE = 8
+# Distinct values that one slot of an ordered group should hold.
+SLOT_VALUES = 1 << 16
 
 Fold = Callable[[Column], Column]
 
@@ -189,29 +193,45 @@ def _with_slot(rows: DataFrame, value: str, side: int) -> DataFrame:
     )
 
 
+def measured_side(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> int:
+    """Side of a square of slots with about ``SLOT_VALUES`` distinct values each, for the group and column with the most.
+
+    One pass over these columns with a cardinality sketch (HyperLogLog, combined on
+    the map side); its result does not depend on the order of rows, and only one
+    number comes to the driver.  At least ``LEAST_SIDE``, also for an empty table.
+    """
+    distinct = df.groupBy(*by).agg(F.greatest(F.lit(0), *[F.approx_count_distinct(v) for v in values]).alias("n"))
+    most = distinct.agg(F.max("n")).first()[0] or 0
+    return max(LEAST_SIDE, math.isqrt(most // SLOT_VALUES) + 1)
+
+
+def in_slots(cells: DataFrame, by: Sequence[str], value: str, counts: Sequence[str], side: int) -> DataFrame:
+    """Cells with the slot of their value (``CHUNK``): up to ``side * side`` slots per group, in the order of the values."""
+    slots = side * side
+    cuts = ", ".join(str(i / slots) for i in range(1, slots))
+    # Reading the counts here keeps this aggregate on the same shuffle as the cells.
+    known = f"if({' + '.join(f'`{c}`' for c in counts)} > 0, `{value}`, null)"
+    marks = F.expr(f"percentile_approx({known}, array({cuts}), {20 * slots})")
+    return _with_slot(attach(cells, cells.groupBy(*by).agg(marks.alias("_marks")), by), value, side)
+
+
 def cumulative_counts(
     cells: DataFrame,
     by: Sequence[str],
     value: str,
     counts: Sequence[str],
-    side: int = 8,
+    side: int = LEAST_SIDE,
 ) -> DataFrame:
     """Running and total counts over the ordered values of each group.
 
     ``cells`` has one row per group and distinct value with the counts of that
     value.  Adds ``<count>_upto`` (values at or below this one) and
     ``<count>_total``.  The values of a group are cut into about ``side * side``
-    equal slots, so no task orders more than that share of a group; raise
-    ``side`` with the number of distinct values.  The cuts come from an
+    equal slots, so no task orders more than that share of a group; ``measured_side``
+    finds a side from the number of distinct values.  The cuts come from an
     approximate quantile sketch, but the counts are exact for any cuts.
     """
-    slots = side * side
-    cuts = ", ".join(str(i / slots) for i in range(1, slots))
-    # Reading the counts here keeps this aggregate on the same shuffle as the cells.
-    known = f"if({' + '.join(f'`{c}`' for c in counts)} > 0, `{value}`, null)"
-    marks = F.expr(f"percentile_approx({known}, array({cuts}), {20 * slots})")
-    marked = attach(cells, cells.groupBy(*by).agg(marks.alias("_marks")), by)
-    slotted = _with_slot(marked, value, side)
+    slotted = in_slots(cells, by, value, counts, side)
     summary = slotted.groupBy(*by, CHUNK).agg(*[F.sum(c).alias(c) for c in counts])
     whole = Window.partitionBy(*by)
     before = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
-from hourcast.operators.chunks import cumulative_counts
+from hourcast.operators.chunks import cumulative_counts, measured_side
 from hourcast.operators.sampling import sample_n
 
 OLD, NEW = "old", "new"
@@ -162,12 +162,14 @@ def _ks_exact(distance: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series([p_value(*row) for row in zip(distance, n, m, strict=True)], dtype="float64")
 
 
-def ecdf_distance(df: DataFrame, features: Sequence[str], group: str, side: int = 8) -> DataFrame:
+def ecdf_distance(df: DataFrame, features: Sequence[str], group: str, side: int | None = None) -> DataFrame:
     """Largest distance between the empirical distributions of the two groups, per feature.
 
     Ordered running counts over distinct values in slots, so no task orders a
-    whole feature.
+    whole feature.  Without ``side`` the slots follow from the measured number of
+    distinct values.
     """
+    side = side or measured_side(df, features)
     ranked = cumulative_counts(_cells(df, features, group, (OLD, NEW)), ["feature"], "value", [OLD, NEW], side)
     share = {g: F.try_divide(F.col(f"{g}_upto"), F.col(f"{g}_total")) for g in (OLD, NEW)}
     return ranked.groupBy("feature").agg(
@@ -178,7 +180,7 @@ def ecdf_distance(df: DataFrame, features: Sequence[str], group: str, side: int
 
 
 def ks_drift(
-    df: DataFrame, features: Sequence[str], group: str, rule: str = "effect", side: int = 8, method: str = "asymptotic"
+    df: DataFrame, features: Sequence[str], group: str, rule: str = "effect", side: int | None = None, method: str = "asymptotic"
 ) -> DataFrame:
     """Two-sample distance, its p-value and effect size per feature.
 

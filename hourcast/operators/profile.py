@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hourcast.operators.chunks import attach, cumulative_counts
+from hourcast.operators.chunks import attach, cumulative_counts, measured_side
 
 PARTS = {
     "year": F.year,
@@ -125,8 +125,8 @@ def value_cells(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ranked(cells: DataFrame, by: Sequence[str], value: str, side: int) -> DataFrame:
-    return cumulative_counts(cells, by, value, ["n"], side)
+def _ranked(df: DataFrame, cells: DataFrame, by: Sequence[str], value: str, side: int | None) -> DataFrame:
+    return cumulative_counts(cells, by, value, ["n"], side or measured_side(df, [value], by))
 
 
 def _at_rank(value: str, rank: Column) -> Column:
@@ -152,24 +152,25 @@ def quantiles(
     probs: dict[str, float],
     by: Sequence[str] = (),
     interpolate: bool = False,
-    side: int = 8,
+    side: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group: data points by rank, or linearly interpolated.
 
-    Works on value counts in slots, so neither a hot group nor a wide value
-    range is ever sorted or held by one task.
+    Works on value counts in ``side`` squared slots, so neither a hot group nor a
+    wide value range is ever sorted or held by one task.  Without ``side`` it is
+    set from the measured number of distinct values (one more pass over the column).
     """
     pick = _cont if interpolate else _disc
-    ranked = _ranked(value_cells(df, value, by), by, value, side)
+    ranked = _ranked(df, value_cells(df, value, by), by, value, side)
     return ranked.groupBy(*by).agg(*[pick(value, p).alias(name) for name, p in probs.items()])
 
 
 def iqr_outliers(
-    df: DataFrame, value: str, by: Sequence[str] = (), factor: float = 1.5, side: int = 8
+    df: DataFrame, value: str, by: Sequence[str] = (), factor: float = 1.5, side: int | None = None
 ) -> DataFrame:
     """Rank-based quartiles, fences, and the number of rows strictly outside them."""
     cells = value_cells(df, value, by)
-    quartiles = _ranked(cells, by, value, side).groupBy(*by).agg(
+    quartiles = _ranked(df, cells, by, value, side).groupBy(*by).agg(
         _disc(value, 0.25).alias("q1"), _disc(value, 0.75).alias("q3")
     )
     spread = (F.col("q3") - F.col("q1")) * F.lit(factor)
@@ -182,11 +183,11 @@ def iqr_outliers(
 
 
 def box_stats(
-    df: DataFrame, value: str, by: Sequence[str] = (), factor: float = 1.5, side: int = 8
+    df: DataFrame, value: str, by: Sequence[str] = (), factor: float = 1.5, side: int | None = None
 ) -> DataFrame:
     """Minimum, interpolated quartiles, maximum, and whiskers at the outermost points inside the fences."""
     cells = value_cells(df, value, by)
-    five = _ranked(cells, by, value, side).groupBy(*by).agg(
+    five = _ranked(df, cells, by, value, side).groupBy(*by).agg(
         F.min(value).alias("low"),
         _cont(value, 0.25).alias("q1"),
         _cont(value, 0.5).alias("median"),

@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hourcast.operators.chunks import attach, measured_side
 from hourcast.operators.profile import (
     duplicate_profile,
     iqr_outliers,
@@ -108,11 +109,22 @@ def _inside(observed: Column, check: Check) -> Column:
     return F.coalesce(passed, F.lit(False))
 
 
-def validate(df: DataFrame, suite: Sequence[Check]) -> DataFrame:
+def _medians(df: DataFrame, columns: Mapping[str, str], side: int | None) -> DataFrame:
+    """One row with the medians (name to column): every column is a group of one distributed quantile, so rows are read once for all."""
+    cells = [F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias("v")) for name, c in columns.items()]
+    found = quantiles(
+        df.select(F.inline(F.array(*cells))),
+        "v", {"m": 0.5}, ["name"], interpolate=True, side=side or measured_side(df, list(columns.values())),
+    )
+    return found.agg(*[F.max(F.when(F.col("name") == name, F.col("m"))).alias(name) for name in columns])
+
+
+def validate(df: DataFrame, suite: Sequence[Check], side: int | None = None) -> DataFrame:
     """One row per check with the observed figure and whether it passed.
 
     All row checks, means and standard deviations fold into a single aggregate
-    over the table; each median adds one distributed quantile.
+    over the table; all medians into one distributed quantile, of ``side`` squared
+    slots per column (by default as many as the distinct values ask for).
     """
     aggregates = [F.count(F.lit(1)).alias("_rows")]
     for i, check in enumerate(suite):
@@ -121,10 +133,9 @@ def validate(df: DataFrame, suite: Sequence[Check]) -> DataFrame:
         elif check.kind in STATISTICS:
             aggregates.append(STATISTICS[check.kind](check.column).cast("double").alias(f"_c{i}"))
     measured = df.agg(*aggregates)
-    for i, check in enumerate(suite):
-        if check.kind == "median_between":
-            median = quantiles(df, check.column, {"m": 0.5}, interpolate=True)
-            measured = measured.withColumn(f"_c{i}", median.select(F.col("m").cast("double")).scalar())
+    medians = {f"_c{i}": check.column for i, check in enumerate(suite) if check.kind == "median_between"}
+    if medians:
+        measured = attach(measured, _medians(df, medians, side), [])
     types = {f.name: f.dataType for f in df.schema}
 
     def outcome(i: int, check: Check) -> Column:
@@ -188,12 +199,12 @@ def suite_from_df(table: DataFrame) -> list[Check]:
     ]
 
 
-def run_suite(df: DataFrame, suite: Sequence[Check], run_id: str) -> DataFrame:
+def run_suite(df: DataFrame, suite: Sequence[Check], run_id: str, side: int | None = None) -> DataFrame:
     """Validation results stamped with a run id, ready to append to a result table."""
-    return validate(df, suite).withColumn("run_id", F.lit(run_id))
+    return validate(df, suite, side).withColumn("run_id", F.lit(run_id))
 
 
-def quality_report(df: DataFrame, value: str, limit: float = 0) -> DataFrame:
+def quality_report(df: DataFrame, value: str, limit: float = 0, side: int | None = None) -> DataFrame:
     """Missing, invalid, duplicate and outlier rows as (measure, n, pct).
 
     Missing values count cells but are a percentage of rows, so they may exceed
@@ -207,7 +218,7 @@ def quality_report(df: DataFrame, value: str, limit: float = 0) -> DataFrame:
         F.count_if(F.col(value) <= limit).alias("invalid"),
     )
     duplicates = duplicate_profile(df).select(F.col("duplicates")).scalar()
-    outliers = iqr_outliers(df, value).select(F.col("outliers")).scalar()
+    outliers = iqr_outliers(df, value, side=side).select(F.col("outliers")).scalar()
     counts = {
         "missing": F.col("missing"),
         "invalid": F.col("invalid"),

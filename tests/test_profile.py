@@ -9,7 +9,7 @@ import pytest
 from helpers import SCHEMA, frame, hour, rows_of
 from pyspark.sql import functions as F
 
-from hourcast.operators import drift, profile
+from hourcast.operators import chunks, drift, profile
 from hourcast.operators.quality import (
     Check,
     between,
@@ -51,6 +51,44 @@ def test_quantiles_match_numpy(spark, n, distinct, side):
             assert got["b"][name] == 4.0
 
 
+def test_slots_follow_the_distinct_values(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "SLOT_VALUES", 40)
+    monkeypatch.setattr(chunks, "LEAST_SIDE", 2)
+    largest = []
+    for distinct in (100, 10_000):
+        sample = [float((i * 7919) % distinct) for i in range(2 * distinct)]  # every value twice
+        df = spark.createDataFrame([("a", v) for v in sample] + [("b", 1.0)], "series string, v double")
+        side = chunks.measured_side(df, ["v"], KEYS)
+        assert abs(side * side - distinct / 40) <= 0.2 * distinct / 40 + 2 * side + 1
+        slotted = chunks.in_slots(profile.value_cells(df, "v", KEYS), KEYS, "v", ["n"], side)
+        per_slot = slotted.groupBy("series", chunks.CHUNK).count()
+        largest.append(per_slot.agg({"count": "max"}).first()[0])
+        got = {r["series"]: r for r in profile.quantiles(df, "v", {"p": 0.1, "q": 0.75}, KEYS, interpolate=True).collect()}
+        assert got["a"]["p"] == pytest.approx(np.quantile(sample, 0.1)) and got["a"]["q"] == pytest.approx(np.quantile(sample, 0.75))
+        assert got["b"]["p"] == got["b"]["q"] == 1.0
+    assert max(largest) <= 2 * 40  # a hundredfold of values, and no slot beyond twice its share
+
+
+def test_slots_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "series string, v double")
+    assert chunks.measured_side(df, ["v"]) == chunks.measured_side(df, ["v"], KEYS) == chunks.LEAST_SIDE
+    assert profile.quantiles(df, "v", {"m": 0.5}, KEYS).count() == 0
+
+
+def test_medians_of_a_suite_share_one_quantile(spark):
+    rows = [(float(i % 5), i, None) for i in range(101)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "x double, y int, z double")
+    suite = [
+        median_between("x", 2, 2), median_between("y", 51), median_between("z"),
+        not_null("x"), median_between("x", high=1),
+    ]
+    for side in (None, 3):
+        got = [(r["observed"], r["passed"]) for r in validate(df, suite, side).collect()]
+        assert got == [(2.0, True), (50.0, False), (None, False), (1.0, False), (2.0, False)]
+    outliers = {r["measure"]: r["n"] for r in quality_report(df, "y", side=2).collect()}
+    assert outliers == {r["measure"]: r["n"] for r in quality_report(df, "y").collect()}
+
+
 def test_one_hot_value_holds_most_rows(spark):
     sample = [5.0] * 300 + values(1, 100, 50)
     df = frame(spark, [("a", hour(i), v) for i, v in enumerate(sample)])
