@@ -119,12 +119,12 @@ def slots(plan: list[tuple[dict[int, int], int]], first: int) -> tuple[list[tupl
     return rows, first
 
 
-def measured(docs: DataFrame, path: str, end_id: int, window: int, fillers: int) -> DataFrame:
+def measured(docs: DataFrame, path: str, end_id: int, window: int, fillers: int, keep_encoder: bool = True) -> DataFrame:
     """uid, doc_id, n_tokens, crcs (of each window-sized cut), filler and, for fillers alone, the packed ids."""
     kind = id_kind(path)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in token_batches(rows, path, end_id):
+        for batch, found in token_batches(rows, path, end_id, keep_encoder):
             chosen = batch.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -143,7 +143,7 @@ def measured(docs: DataFrame, path: str, end_id: int, window: int, fillers: int)
     return found.withColumn("uid", F.monotonically_increasing_id())
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = 4096, quantum: int = 64, depth: int = 5, fillers: int = 8) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = 4096, quantum: int = 64, depth: int = 5, fillers: int = 8, keep_encoder: bool = True) -> DataFrame:
     """Pieces of all documents (doc_id, text) in sequences of at most ``window`` tokens, gapless and nearly without padding.
 
     Documents are cut at multiples of the window. The rests, rounded up to ``quantum``, are packed whole by ``plan_windows``, which sees a histogram of
@@ -151,11 +151,13 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = 40
     into the gaps that rounding leaves, in order of the sequences, and the rest of them into new windows, the last of which are powers of two.
     Where a filler is cut, its next piece fills the next gap.
 
+    Workers keep their encoder between tasks, unless ``keep_encoder`` is false (for jobs that go on with other work).
+
     NULL text is empty: a document of the end id alone. Rows that share a doc_id are packed one by one. An empty table has no pieces. Ranks and
     positions come from running totals over many cells, so no length, however common, is ordered in one task.
     """
     spark = docs.sparkSession
-    table = saved(measured(docs, path, end_id, window, fillers), "measured")
+    table = saved(measured(docs, path, end_id, window, fillers, keep_encoder), "measured")
     whole = table.filter("not filler")
     rows = table.count()
     cells = max(1, rows // CELL_ROWS)

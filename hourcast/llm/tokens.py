@@ -176,6 +176,18 @@ def rare_spaces(flat: np.ndarray) -> np.ndarray:
     return at[found]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str, keep: bool = True) -> Encoder:
+    """One encoder per Python worker and vocabulary; with ``keep`` false a new one, which goes when the caller lets it go."""
+    if not keep:
+        return Encoder(path)
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def id_kind(path: str) -> str:
     """Type of an id in intermediate tables."""
     from tokenizers import Tokenizer
@@ -188,19 +200,19 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def token_batches(rows: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def token_batches(rows: Iterator[pa.RecordBatch], path: str, end_id: int, keep: bool = True) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Batches (doc_id, text as binary) with the ids of their texts, end id included; NULL text is empty and has the end id alone.
 
-    Texts are encoded half a megabyte at a time: the arrays of a stretch are several times its size. A task has an encoder of its own, which goes with
-    the task: workers live on, and would hold vocabulary and known pieces while they work on something else."""
-    encoder = Encoder(path)
+    Texts are encoded half a megabyte at a time: the arrays of a stretch are several times its size. Workers keep their encoder for
+    later tasks, or with ``keep`` false free it with the task: known pieces are then encoded again, but nothing is held while they work on something else."""
+    own = encoder(path, keep)
     for batch in rows:
         flat, offsets = bytes_of(batch.column(1))
         found: list[np.ndarray] = []
         while len(found) < batch.num_rows:
             first = len(found)
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STRETCH, "right")) - 1)
-            ids = encoder.encode(flat[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            ids = own.encode(flat[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             found += [np.append(x, np.uint32(end_id)) for x in ids]
         yield batch, found
 
