@@ -30,6 +30,7 @@ _BEYOND = np.zeros(256, bool)  # bytes of rare white space, and of letters beyon
 _BEYOND[[11, 12, 28, 29, 30, 31, 0xC2]] = True
 _BEYOND[0xC4:] = True
 KEPT_PIECES = 200_000
+KEPT_BY_WORKER = 1_000_000
 STRETCH = 1 << 19
 
 
@@ -39,6 +40,7 @@ class Encoder:
     A piece ends where one of four white-space bytes follows another byte, where an ASCII sign follows a letter, and where a letter follows a sign
     other than an apostrophe: no token of the vocabularies in use reaches over such a place, so the ids of a text are the ids of its pieces. Pieces
     are told apart by 64-bit hashes. The memory for known pieces is bounded: when not all new ones fit, those that occur once are encoded again.
+    The latest known pieces have a list of their own, which joins the other at an eighth of its length: few pieces are moved for a batch.
     """
 
     def __init__(self, path: str, kept: int = KEPT_PIECES):
@@ -54,10 +56,10 @@ class Encoder:
         self.folds = self.whole("A") == self.whole("a")
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.width = np.array([len(x.removesuffix("</w>") if not self.keeps_space else x) for x in names])  # bytes of a token
-        self.names = np.zeros(0, np.uint64)  # hashes of known pieces, sorted
-        self.at = np.zeros(0, np.int64)  # where their ids begin
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = [none, none]  # of the older and the latest known pieces: hashes, sorted, where their ids begin, and how many they have
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = 0  # ids from here on are of the batch at hand
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -127,40 +129,47 @@ class Encoder:
         if not len(starts):
             return [np.zeros(0, np.uint32)] * (len(offsets) - 1)
         names, first, which, times = np.unique(span_hashes(_FOLD[flat] if self.folds else flat, starts, ends), return_index=True, return_inverse=True, return_counts=True)
-        place = np.searchsorted(self.names, names)
-        known = np.zeros(len(names), bool)
-        inside = place < len(self.names)
-        known[inside] = self.names[place[inside]] == names[inside]
-        at, size = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-        at[known], size[known] = self.at[place[known]], self.size[place[known]]
-        store = self.ids
-        if not known.all():
-            new = ~known
+        known, at, size = np.zeros(len(names), bool), np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        for kept_names, kept_at, kept_size in self.known:
+            place = np.searchsorted(kept_names, names)
+            here = np.flatnonzero(place < len(kept_names))
+            here = here[kept_names[place[here]] == names[here]]
+            known[here], at[here], size[here] = True, kept_at[place[here]], kept_size[place[here]]
+        new = np.flatnonzero(~known)
+        if len(new):
             ids, sizes = self.fresh(flat, starts[first[new]], ends[first[new]])
-            at[new], size[new] = len(store) + np.cumsum(sizes) - sizes, sizes
-            store = np.concatenate([store, ids])
-            room = self.kept - len(self.names)
-            fit = new if int(new.sum()) <= room else new & (times > 1)
-            if fit.any() and int(fit.sum()) <= room:
-                self._keep(names[fit], at[fit], size[fit], store)
-        size, at = size[which], at[which]
-        before = np.zeros(len(size) + 1, np.int64)
-        np.cumsum(size, out=before[1:])
-        out = store[np.repeat(at - before[:-1], size) + np.arange(before[-1])]
+            at[new], size[new] = self.used + np.cumsum(sizes) - sizes, sizes
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + len(ids), np.uint32)])
+            self.ids[self.used : self.used + len(ids)] = ids
+        sizes = size[which]
+        before = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=before[1:])
+        out = self.ids[np.repeat(at[which] - before[:-1], sizes) + np.arange(before[-1])]
+        room = self.kept - sum(len(kept_names) for kept_names, *_ in self.known)
+        fit = new if len(new) <= room else new[times[new] > 1]
+        if 0 < len(fit) <= room:
+            self._keep(names[fit], at[fit], size[fit])
         cuts = before[np.searchsorted(starts, offsets)]
         found = [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         for i in np.unique(np.searchsorted(offsets, rare_spaces(flat), "right") - 1).tolist():
             found[i] = np.array(self.whole(flat[offsets[i] : offsets[i + 1]].tobytes().decode()), np.uint32)
         return found
 
-    def _keep(self, names: np.ndarray, at: np.ndarray, size: np.ndarray, store: np.ndarray) -> None:
+    def _keep(self, names: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
         before = np.cumsum(size) - size
-        ids = store[np.repeat(at - before, size) + np.arange(int(size.sum()))]
-        place = np.searchsorted(self.names, names)  # both are sorted
-        self.names = np.insert(self.names, place, names)
-        self.at = np.insert(self.at, place, before + len(self.ids))
-        self.size = np.insert(self.size, place, size)
-        self.ids = np.concatenate([self.ids, ids])
+        count = int(size.sum())
+        self.ids[self.used : self.used + count] = self.ids[np.repeat(at - before, size) + np.arange(count)]
+        old, late = self.known
+        late = _merged(late, (names, self.used + before, size))
+        self.used += count
+        self.known = [old, late] if 8 * len(late[0]) < len(old[0]) else [_merged(old, late), tuple(x[:0] for x in late)]
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Two lists of known pieces as one: both are sorted, and no piece is in both."""
+    place = np.searchsorted(a[0], b[0])
+    return tuple(np.insert(x, place, y) for x, y in zip(a, b))
 
 
 def rare_spaces(flat: np.ndarray) -> np.ndarray:
@@ -180,11 +189,11 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str, keep: bool = True) -> Encoder:
-    """One encoder per Python worker and vocabulary; with ``keep`` false a new one, which goes when the caller lets it go."""
+    """One encoder per Python worker and vocabulary, which knows more pieces the longer it works; with ``keep`` false a new one, which goes when the caller lets it go."""
     if not keep:
         return Encoder(path)
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, KEPT_BY_WORKER)
     return _ENCODERS[path]
 
 

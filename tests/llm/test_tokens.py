@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from hourcast.llm import packing, tokenfiles
+from hourcast.llm import packing, tokenfiles, tokens
 from hourcast.llm.common import bytes_of, scratch, settle
 from hourcast.llm.tokens import Encoder
 
@@ -38,6 +38,21 @@ def test_encoder_equals_the_library(path):
             assert [x.tolist() for x in found] == [encoder.whole(t) for t in part]
 
 
+def test_workers_encode_no_known_piece_again(monkeypatch):
+    """More distinct words than one task's memory holds: a later task of the worker finds them all."""
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    texts = [" ".join(f"w{i}" for i in range(a, a + 10_000)) for a in range(0, 260_000, 10_000)]
+    encoder, counts = tokens.encoder(BYTE), []
+    fresh = encoder.fresh
+    monkeypatch.setattr(encoder, "fresh", lambda flat, starts, ends: counts.append(len(starts)) or fresh(flat, starts, ends))
+    for _ in range(2):
+        for text in texts:
+            (found,) = encoder.encode(*bytes_of(pa.array([" " + text], pa.string()).cast(pa.binary())))
+            if text in (texts[0], texts[-1]):
+                assert found.tolist() == encoder.whole(" " + text)
+    assert counts == [10_000] * len(texts)
+
+
 def test_pack_and_unpack():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):
